@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, simhash
+from millrace.llm import mixing, packing, simhash
 from millrace.llm.common import table
 
 
@@ -18,6 +18,11 @@ def _ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *_ranks(), capacity=2048, end_id=1)
 
@@ -28,7 +33,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"op2_mixing": op2_mixing, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
