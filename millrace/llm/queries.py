@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding, langid, mixing, mtree, packing, quality, simhash, urlfilter
+from millrace.llm import embedding, langid, licenses, mixing, mtree, packing, quality, simhash, urlfilter
 from millrace.llm.common import crc_mod, table
 
 
@@ -55,6 +55,10 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 #: Hosts with paths, and what happens to what lies under them.
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -91,8 +95,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op7_urlfilter": OP7_SQL}
+    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op5_licenses": licenses.brute_sql(), "op7_urlfilter": OP7_SQL}
