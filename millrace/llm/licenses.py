@@ -76,7 +76,8 @@ def anchors(templates: dict[str, list[str]]) -> list[str]:
 
 
 def _shingles(window: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(window) - SHINGLE + 1), lambda i: F.array_join(F.slice(window, i, SHINGLE), " "))
+    starts = F.slice(F.sequence(F.lit(1), F.size(window)), F.lit(1), F.greatest(F.size(window) - SHINGLE + 1, F.lit(0)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(window, i, SHINGLE), " "))
 
 
 def _signature(shingles: str) -> Column:
@@ -106,17 +107,17 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, id_col: str = "
     may = F.lit(False)
     for word in seek:
         may = may | F.contains("text", F.lit(word))
-    found = lowered.where(may).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") >= SHINGLE)
-    held = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*map(F.lit, seek)), F.element_at("words", i + 1)))
-    found = found.withColumn("at", held)
+    # No filters on these columns: pushed down, they would find the words anew for every word.
+    found = lowered.where(may).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    found = found.withColumn("at", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(seek), i))))
 
     def starts(window: int, step: int) -> Column:
         """Of the windows with a word of `seek` in them."""
         ends = F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.ceil((p - window + 1) / step), F.lit(0)).cast("int"), F.floor(p / step).cast("int"))))
         return F.transform(F.array_distinct(ends), lambda k: F.struct(F.lit(window).alias("window"), F.lit(n_bands[(window, step)]).alias("bands"), (k * step).alias("start")))
 
-    windows = found.where(F.size("at") > 0).select("doc_id", "words", F.explode(F.concat(*(starts(*s) for s in shapes))).alias("w"))
-    windows = windows.select("doc_id", "w.window", "w.bands", F.slice("words", F.col("w.start") + 1, F.col("w.window")).alias("words")).where(F.size("words") >= SHINGLE)
+    windows = found.select("doc_id", "words", F.explode(F.concat(*(starts(*s) for s in shapes))).alias("w"))
+    windows = windows.select("doc_id", "w.window", "w.bands", F.slice("words", F.col("w.start") + 1, F.col("w.window")).alias("words"))
     windows = windows.select("doc_id", "window", "bands", F.array_distinct(_shingles(F.col("words"))).alias("held"))
     windows = windows.select("doc_id", "window", "held", F.posexplode(_signature("held")).alias("band", "value"))
     met = windows.join(F.broadcast(table), ["window", "band", "value"])
