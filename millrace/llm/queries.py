@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding, langid, licenses, mixing, mtree, packing, quality, simhash, urlfilter
-from millrace.llm.common import crc_mod, table
+from millrace.llm import embedding, langid, licenses, lm, mixing, mtree, packing, quality, simhash, urlfilter
+from millrace.llm.common import crc_mod, cut, table
 
 
 def _ranks() -> tuple[str, str]:
@@ -78,6 +78,16 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.where(crc_mod("doc_id", 10) != 0)
+    counts = cut(lm.word_counts(train), "words")
+    automaton = lm.train_automaton(train, counts)
+    held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out")
+    train_tokens = F.lit(automaton.n_tokens).cast("long").alias("train_tokens")
+    return lm.score(docs, automaton, counts).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_mod("doc_id", 4) != 2))
@@ -95,7 +105,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
