@@ -1 +1,70 @@
-"""Stages of the corpus pipeline; see STAGES."""
+"""The corpus pipeline: language ID, quality, near-duplicates, mixing, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
+again as the next one's docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import langid, mixing, packing, quality, simhash
+from millrace.llm.common import crc_mod, cut, table
+from millrace.llm.queries import ranks
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text has letters and one clear language, as learned from those with a known language."""
+    return langid.keep(docs, langid.fit(docs.where(crc_mod("doc_id", 5) != 0)))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier, fitted on the labels, scores at 0.7 or more."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    return quality.keep(docs, quality.fit(docs, labels))
+
+
+#: Name of the key that the stages give each document.
+KEY = "corpus_pipeline_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key that is the id, or for null ids a large number from the text."""
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one of the smallest id; of rows that repeat an id, one.
+
+    Documents with null ids yield to those of their group that have one.
+    """
+    groups = simhash.near_duplicates(keyed(docs), id_col=KEY)
+    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed(docs).join(cut(chosen, "chosen").hint("merge"), KEY).dropDuplicates([KEY]).drop(KEY)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: its source's complete epochs and the weighted sample."""
+    taken = mixing.mix(keyed(docs), id_col=KEY).where("taken > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.max(F.expr("taken div size")).cast("int").alias("mixing_times"))
+    many = keyed(docs).join(cut(taken, "taken").hint("merge"), KEY)
+    return many.withColumn("mixing_copy", F.explode(F.sequence(F.lit(1), F.col("mixing_times")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, seated in sequences of 2048 tokens."""
+    return packing.pack(docs, *ranks(), capacity=2048, end_id=1)
+
+
+STAGES = [("language_id", languages), ("quality", good), ("near_duplicates", distinct), ("mixing", mixed), ("packing", packed)]
+
+#: The stages' classifiers, hashes and tokenizer are beyond SQL; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

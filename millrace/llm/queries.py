@@ -11,7 +11,7 @@ from millrace.llm import embedding, langid, licenses, lm, mixing, mtree, packing
 from millrace.llm.common import crc_mod, cut, table
 
 
-def _ranks() -> tuple[str, str]:
+def ranks() -> tuple[str, str]:
     """The public byte-level vocabulary's ranks and its pattern; their ids are those of byte_bpe_50k.json."""
     import public_tokenizers
 
@@ -96,7 +96,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), *_ranks(), capacity=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), *ranks(), capacity=2048, end_id=1)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run, "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
