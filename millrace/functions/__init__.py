@@ -1 +1 @@
-
+"""Column functions: coercion, text, masking, numbers and dates."""
