@@ -16,3 +16,18 @@ def top_with_other(df: DataFrame, group: str, amount: str, n: int, other: str =
     folded = ranked.groupBy(F.when(F.col("rk") <= n, F.col("grp")).otherwise(F.lit(other)).alias("grp")).agg(F.sum("value").alias("value"))
     whole = F.sum("value").over(Window.partitionBy())
     return folded.select("grp", F.col("value").cast("double").alias("value"), F.round(F.col("value").cast("double") * 100 / whole.cast("double"), 4).alias("share_pct"))
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rk") -> DataFrame:
+    """The first n rows of each group with their rank; partitions are cut to n rows a group before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def nearest_rank(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Each group's number of rows and the values at index int(n q) of its sorted values, the last at most."""
+    counts = df.groupBy(group, value).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("times").over(Window.partitionBy(group))
+    placed = counts.withColumn("upto", upto).withColumn("n", whole)
+    at = lambda q: F.least(F.floor(F.col("n") * q) + 1, F.col("n"))
+    return placed.groupBy(group).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") >= at(q), F.col(value))).alias(name) for name, q in quantiles.items()))
