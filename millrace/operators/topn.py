@@ -31,3 +31,9 @@ def nearest_rank(df: DataFrame, group: str, value: str, quantiles: dict[str, flo
     placed = counts.withColumn("upto", upto).withColumn("n", whole)
     at = lambda q: F.least(F.floor(F.col("n") * q) + 1, F.col("n"))
     return placed.groupBy(group).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") >= at(q), F.col(value))).alias(name) for name, q in quantiles.items()))
+
+
+def listed_first(df: DataFrame, column: str, listed: list[str], otherwise: int) -> DataFrame:
+    """The values of a column with their place in a list (`otherwise` for others) and their rank by place and name."""
+    place = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i, v in enumerate(listed) for x in (v, i + 1))), F.trim(column)), F.lit(otherwise))
+    return df.withColumn("place", place).withColumn("rk", F.row_number().over(Window.orderBy("place", F.asc_nulls_last(column))))
