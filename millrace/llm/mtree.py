@@ -21,7 +21,7 @@ from millrace.llm.common import cut
 from millrace.llm.embedding import usable
 
 #: Vectors of a shard, about, and queries that one task answers; entries of a page; pages that an inner page routes to.
-SHARD, QUERIES, PAGE, FANOUT = 8192, 1024, 128, 16
+SHARD, QUERIES, PAGE, FANOUT = 8192, 1024, 512, 16
 SCALE = 1024
 
 PAGES = "dim int, shard int, page int, leaf boolean, ids array<long>, vectors array<long>, to_parent array<double>, radii array<double>, children array<int>, longest double"
@@ -83,14 +83,16 @@ class Tree:
         self.pages = []
         for p in pages.itertuples():
             vectors = np.asarray(p.vectors, np.int64).reshape(-1, dim)
-            squares = (vectors.astype(np.float64) ** 2).sum(1)
-            self.pages.append((p.leaf, np.asarray(p.ids, np.int64), vectors, vectors.astype(np.float64), squares, np.asarray(p.to_parent, np.float64), np.asarray(p.radii, np.float64), np.asarray(p.children, np.int64)))
+            self.pages.append((p.leaf, np.asarray(p.ids, np.int64), vectors, vectors.astype(np.float64), np.asarray(p.to_parent, np.float64), np.asarray(p.radii, np.float64), np.asarray(p.children, np.int64)))
+        self.largest = max(float(np.abs(p[3]).max(initial=0)) for p in self.pages)
+        #: Scores and distances computed so far.
         self.computed = 0
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of other ids; ties to the smaller id."""
         q = query.astype(np.float64)
         square = q @ q + self.longest**2
+        exact = _exact(len(q), max(self.largest, np.abs(q).max()))
         slack = 1e-7 * square + 0.5  # scores are whole numbers; a distance is rounded by up to 1e-8 of the longest
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
         queue = [(-np.inf, 0, np.nan)]  # minus the upper bound, page, distance to its routing vector
@@ -99,18 +101,23 @@ class Tree:
             least = best[0][0] if len(best) == k else -np.inf
             if -bound + slack < least:
                 break
-            leaf, ids, vectors, floats, squares, to_parent, radii, children = self.pages[number]
-            near = np.arange(len(ids))
+            leaf, ids, vectors, floats, to_parent, radii, children = self.pages[number]
+            near = slice(None)
             if away == away and len(best) == k:
                 # |d(q, parent) - d(parent, entry)| - radius is no more than the distance to anything below the entry.
                 low = np.maximum(np.abs(away - to_parent) - (0 if leaf else radii), 0)
                 near = np.flatnonzero((square - low * low) / 2 + slack >= least)
-            if not len(near):
-                continue
-            self.computed += len(near)
+                if not len(near):
+                    continue
+            self.computed += len(ids[near])
             if leaf:
-                scores = dots(vectors[near], query)
-                for score, i in zip(scores.tolist(), ids[near].tolist()):
+                scores = (floats[near] @ q).astype(np.int64) if exact else dots(vectors[near], query)
+                if len(best) == k:
+                    good = np.flatnonzero(scores >= least)
+                    scores, found = scores[good], ids[near][good]
+                else:
+                    found = ids[near]
+                for score, i in zip(scores.tolist(), found.tolist()):
                     if i != own and (len(best) < k or (score, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (score, -i))
             else:
