@@ -1 +1 @@
-
+"""Streams of operational events."""
