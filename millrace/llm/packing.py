@@ -29,8 +29,8 @@ GRAIN = 16
 GAP = 0.0005
 #: Words whose ids a Python worker remembers, and the longest word (in characters) that it remembers.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 32
-#: Rows, at most about, of which one task ranks the pieces of one class.
-RANK_ROWS = 20_000
+#: Pieces, about, in one bin of a class; a bin is ranked by one task.
+RANK_ROWS = 500
 
 SPACE_BESIDE_SPACE = re.compile(r" \s|\s ")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -207,9 +207,8 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
     # Ranks within a class: dealt to bins by hash, ranked within a bin, moved by the sizes of the bins before.
     bins = cut_up.groupBy("cls").agg(F.count("*").alias("n"))
     histogram = {r.cls: r.n for r in bins.collect()}  # at most capacity / GRAIN rows
-    most = max(histogram.values(), default=0)
-    n_bins = max(1, -(-most // RANK_ROWS) * 4)
-    binned = cut_up.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_bins)))
+    n_bins = F.create_map(*(F.lit(x) for k, n in histogram.items() for x in (k, -(-n // RANK_ROWS)))) if histogram else F.lit(None).cast("map<int,int>")
+    binned = cut_up.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(n_bins, F.col("cls"))))
     by_bin = binned.groupBy("cls", "bin").agg(F.count("*").alias("n"))
     before = by_bin.select("cls", "bin", (F.sum("n").over(Window.partitionBy("cls").orderBy("bin")) - F.col("n")).alias("before"))
     in_bin = F.row_number().over(Window.partitionBy("cls", "bin").orderBy("doc_id", "start")) - 1
