@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import coerce, masking, text
-from millrace.operators import chunking, filters, retrieval
+from millrace.operators import chunking, embed, modes, retrieval
 from millrace.plans.catalog import query
 from millrace.session import table
 
@@ -277,3 +277,28 @@ def ret14_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret25_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(F.lit("the"), F.lit("en"))
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.keyword_score(F.substring("text", 1, 80), F.array("lang"), words).alias("score"))
+
+
+def _mode(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    docs = embed.embed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "text", embed.hashed_words())
+    rewrites = [lambda x: modes.without_noise(x, [r"\b(?:the|of|and)\b"]), lambda x: F.lower(F.substring_index(x, " ", 6))]
+    found = modes.search(docs, _questions(spark, sf_dir), modes.MODES[name], embed.hashed_words(), _overlap, rewrites)
+    return found.select("query_id", "rank", "id", "source")
+
+
+@query("ret09_fast_mode")
+def ret09_fast_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also RET-18, RET-27, ETL-17 and UDF-01, by an encoder that needs no model."""
+    return _mode(spark, sf_dir, "fast")
+
+
+@query("ret10_standard_mode")
+def ret10_standard_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also RET-06 and RET-19."""
+    return _mode(spark, sf_dir, "standard")
+
+
+@query("ret11_deep_mode")
+def ret11_deep_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also RET-13, STR-12, STR-14 and SET-03."""
+    return _mode(spark, sf_dir, "deep")
