@@ -122,8 +122,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     share = {lang: min(1.0, fit_rows / n) for lang, n in per_lang.items()}
     if not share:
         return Model({})
-    limit = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int(1_000_000 * s))))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.element_at(limit, F.col("lang"))).select("text", "lang")
+    limit = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int(10**12 * s))))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(10**12)) < F.element_at(limit, F.col("lang"))).select("text", "lang")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

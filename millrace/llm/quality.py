@@ -96,9 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
     labels = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     n = labels.count()
     if n > fit_rows:
-        labels = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-        labels = F.broadcast(labels)
-    sample = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
+        labels = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(10**12)) < int(10**12 * fit_rows / n))
+    sample = docs.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id") == F.col("labelled"))  # about fit_rows rows at most
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
