@@ -11,7 +11,6 @@ its size depends on the sequence length alone.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,75 +26,35 @@ from millrace.llm.common import cut, map_texts
 GRAIN = 16
 #: The program is solved to this share above the least that could do.
 GAP = 0.0005
-#: Words whose ids a Python worker remembers, and the longest word (in characters) that it remembers.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 32
 #: Pieces, about, in one bin of a class; a bin is ranked by one task.
 RANK_ROWS = 500
 
-SPACE_BESIDE_SPACE = re.compile(r" \s|\s ")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordCache:
-    """Token ids of whole texts as little-endian bytes, remembering the ids of words.
+_ENCODINGS: dict[str, object] = {}
 
-    Between two characters that are not white space, a single space always starts a new pre-token of the
-    byte-level vocabularies used here, so a text's ids are those of its words, each with the space before it.
-    """
 
-    def __init__(self, ranks: str, pattern: str):
+def encoding(ranks: str, pattern: str):
+    """The byte-level encoding of a file of ranks; each Python worker reads the file once."""
+    if ranks not in _ENCODINGS:
         import tiktoken
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        #: Of words that follow a space.
-        self.ids: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut at every single space that has no white space beside it."""
-        cut_up = text.split(" ")
-        if not SPACE_BESIDE_SPACE.search(text):
-            return cut_up
-        out = cut_up[:1]
-        for word in cut_up[1:]:
-            if word and out[-1] and not word[0].isspace() and not out[-1][-1].isspace():
-                out.append(word)
-            else:
-                out[-1] += " " + word
-        return out
-
-    def encode(self, text: str) -> bytes:
-        words = self.words(text)
-        missing = [word for word in set(words[1:]) if word not in self.ids]
-        for word in missing:
-            self.ids[word] = self.whole(" " + word)
-        out = self.whole(words[0]) + b"".join(map(self.ids.__getitem__, words[1:]))
-        for word in missing:
-            if len(word) > CACHED_LENGTH or len(self.ids) > CACHED_WORDS:
-                del self.ids[word]
-        return out
-
-
-_CACHES: dict[str, WordCache] = {}
+        _ENCODINGS[ranks] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _ENCODINGS[ranks]
 
 
 def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """The pieces of every document: full ones and a remainder, with the checksum of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks not in _CACHES:
-            _CACHES[ranks] = WordCache(ranks, pattern)
-        cache = _CACHES[ranks]
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoding(ranks, pattern).encode_ordinary
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = cache.encode(text.as_py() or "") + end
+                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[start * 4 : (start + capacity) * 4]
