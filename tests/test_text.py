@@ -103,3 +103,18 @@ def test_coercion(spark):
 def test_tokens_keep_every_script(spark):
     assert one(spark, text.tokens, "제1조 Élan, v1.2 a!") == ["제1조", "élan", "v1.2"]
     assert one(spark, lambda x: text.header(x, F.lit("3"), F.lit("")), "규정") == "[규정 | p.3]\n"
+
+
+def test_markdown_of_structure_and_tables(spark):
+    assert one(spark, text.structured_markdown, "제1장 총칙\n 제2절 범위\n제3조(목적) 글\n① 항\n글") == "## 제1장 총칙\n### 제2절 범위\n#### 제3조(목적) 글\n- ① 항\n글"
+    rows = spark.sql("SELECT array(array('a', 'b'), array('', null), array('1', ' 2 ')) AS x, cast(array() AS array<array<string>>) AS y")
+    assert rows.select(text.markdown_table(F.col("x"))).first()[0] == "| a | b |\n|---|---|\n| 1 | 2 |"
+    assert rows.select(text.markdown_table(F.col("y"))).first()[0] == ""
+
+
+def test_cut_at_a_break(spark):
+    assert one(spark, text.at_break, "x" * 300 + ". " + "y" * 300) == "x" * 300 + ". "
+    assert one(spark, text.at_break, "x " + "y" * 600) == ("x " + "y" * 600)[:400]
+    assert one(spark, text.at_break, "short") == "short"
+    assert one(spark, text.masked_card, "1234-5678-9012-3456") == "1234-****-****-3456"
+    assert one(spark, text.masked_card, "123") == "123"
