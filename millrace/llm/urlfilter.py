@@ -72,10 +72,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The keys of a url: its host and parent domains, with each prefix of the path that is as long as a rule's path."""
+def _keys(host: Column, path: Column, lengths: list[int], deepest: int) -> Column:
+    """The keys of a url: its host and parent domains of `deepest` labels at most, with each prefix of the path that is as long as a rule's path."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.size(labels) - deepest + 1, F.lit(1))
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
     return F.array_distinct(F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p)))))
 
@@ -121,9 +122,10 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_co
     if not rules or len(rules) > MAX_RULES:
         raise ValueError(f"between 1 and {MAX_RULES} rules, please")
     lengths = sorted({len(r) - r.index("/") for r in rules})
+    deepest = max(r[: r.index("/")].count(".") + 1 for r in rules)  # a domain of more labels is in no rule
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    keyed = split.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths))
+    keyed = split.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths, deepest))
     universe = cut(keyed.select(F.explode("keys").alias("key")).distinct().select(*_hashes(F.col("key"))), "keys")
     levels = build_cascade(universe, list(rules))
 
