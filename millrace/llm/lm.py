@@ -7,18 +7,24 @@ the state of the shorter history. One traversal from left to right scores a text
 word of the corpus: rare words' counts are joined, each met by few texts, and never leave the executors.
 
 Words unseen in training are one more outcome, as in the base model; it gets what discounting takes from the seen.
+
+That automaton is bounded, so it forgets more the larger the corpus is. `train_model` has no such bound: it keeps every n-gram
+seen LEAST times or more, of all words, as a table by hashes. Where an n-gram is kept, so are its parts, and the log probability
+of a text is a plain sum: over its words of log p(w) + backoff(w), over its word pairs and triples of what each changes. So one table
+(key, value) scores all texts by one equi-join. Only keys with a share of SHARE, 1 / SHARE a level at most, are broadcast.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, lower_words, map_texts
@@ -31,6 +37,10 @@ ADDED = 0.1
 END = b""
 #: Words longer than this are known by a digest, so that no key is longer.
 LONGEST = 40
+#: Every n-gram seen so often in training is kept by `train_model`, whatever the corpus.
+LEAST = 2
+#: Rows of keys that a worker hands on at once.
+ROWS = 200_000
 #: Distinct words, and n-grams, that a worker gathers before it hands them on.
 COUNTED, NGRAMS = 300_000, 4_000_000
 
@@ -253,3 +263,185 @@ def score(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame
     # Rows equal in id and text were summed together.
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select("doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+
+
+#: The key of a text's start.
+START = np.uint64(0x9E3779B97F4A7C15)
+
+
+#: How far a history's key is turned, by level; were they equal, the word in a triple's middle would cancel out.
+TURNS = {1: 5, 2: 24}
+
+
+def _joined(history: np.ndarray, suffix: np.ndarray, level: int) -> np.ndarray:
+    """Keys of n-grams of level + 1 words from those of their parts."""
+    by = np.uint64(TURNS[level])
+    return ((history << by) | (history >> (np.uint64(64) - by))) ^ suffix
+
+
+def text_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a text's start and tokens, of its pairs, and of its triples. An n-gram's key is made of its history's and its suffix's."""
+    digest = xxhash.xxh64_intdigest
+    one = np.concatenate(([START], np.fromiter(map(digest, words), np.uint64, len(words))))
+    two = _joined(one[:-1], one[1:], 1)
+    return one, two, _joined(two[:-1], two[1:], 2)
+
+
+def _key(level: int) -> Column:
+    """What `_joined` gives, from the columns h and s."""
+    return F.shiftleft("h", TURNS[level]).bitwiseOR(F.shiftrightunsigned("h", 64 - TURNS[level])).bitwiseXOR(F.col("s")).alias("key")
+
+
+def _kept(train: DataFrame, level: int) -> DataFrame:
+    """(h, s, n) of the n-grams of level + 1 words seen LEAST times or more: keys of history and suffix, count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, s = (np.concatenate(x) for x in zip(*parts))
+            _, first, n = np.unique(_joined(h, s, level), return_index=True, return_counts=True)
+            h, s = h[first].view(np.int64), s[first].view(np.int64)
+            for i in range(0, len(n), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in (h, s, n.astype(np.int64))], ["h", "s", "n"])
+
+        for b in batches:
+            for text in b.column(0):
+                below = text_keys(tokens(text.as_py()))[level - 1]
+                parts.append((below[:-1], below[1:]))
+                waiting += len(below) - 1
+            if waiting > NGRAMS:
+                yield from out()
+                parts, waiting = [], 0
+        if waiting:
+            yield from out()
+
+    return map_texts(train.select("text"), run, "h long, s long, n long").groupBy("h", "s").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def _hashed(counts: DataFrame) -> DataFrame:
+    """(key, n) of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in b.column(0)), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], ["key", "n"])
+
+    return counts.select("word", "n").mapInArrow(run, "key long, n long")
+
+
+def _with(rows: DataFrame, column: str, below: DataFrame, least: float) -> DataFrame:
+    """`rows` joined by `column` with `below` (key, ...; every key is there), frequent keys by broadcast, so that no key is hot.
+
+    `below` has the count n; at most 1 / SHARE of its keys have `least` or more.
+    """
+    named = below.select(F.col("key").alias(column), *(F.col(c).alias(f"below_{c}") for c in below.columns if c != "key"))
+    head = F.broadcast(named.where(F.col("below_n") >= least))
+    tail = named.where(F.col("below_n") < least)
+    return rows.join(head, column).unionByName(rows.join(head.select(column), column, "left_anti").join(tail.hint("merge"), column))
+
+
+def _backoff(below: DataFrame, grams: DataFrame) -> DataFrame:
+    """`below` with log10 weights of its keys as histories of `grams` (h, n, lower: probability after the shorter history); 0 without any."""
+    sums = grams.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("own"), F.sum("lower").alias("lower_sum")).withColumnRenamed("h", "key")
+    left, open_ = F.greatest(1 - F.col("own") / F.col("n"), F.lit(1e-12)), F.greatest(1 - F.col("lower_sum"), F.lit(1e-12))
+    weight = F.coalesce(F.log10(left / open_), F.lit(0.0)).alias("backoff")
+    return below.join(sums.hint("merge"), "key", "left").select(*below.columns, weight)
+
+
+@dataclass
+class Model:
+    """`values`: (key, n, base, value, known) of every word and kept n-gram; keys of n >= least are the head."""
+
+    values: DataFrame
+    least: float
+    n_tokens: int
+    n_types: int
+    unseen: float
+
+
+def train_model(train: DataFrame, counts: DataFrame) -> Model:
+    """The model of the texts of `train`, whose word counts are `counts`: all words, pairs and triples seen LEAST times or more."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
+                       F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("texts")).first()
+    discount = total.once / (total.once + 2 * total.twice) if total.once and total.twice else 0.5
+    tokens_, start = max(total.tokens, 1), int(START.view(np.int64))
+    least = max(float(LEAST), SHARE * total.tokens)
+    begin = train.sparkSession.createDataFrame([(start, total.texts)], "key long, n long").where("n > 0")
+    words = cut(_hashed(counts).unionByName(begin), "word-keys")
+    chance = (F.col("n") - discount) / tokens_
+
+    pairs = cut(_kept(train, 1), "pairs")
+    lowered = cut(_with(pairs, "s", words, least).select("h", "s", "n", ((F.col("below_n") - discount) / tokens_).alias("lower")), "pairs-lower")
+    words = cut(_backoff(words, lowered), "words-backoff")
+    two = _with(lowered, "h", words, least).select(_key(1), "n", ((F.col("n") - DISCOUNT) / F.col("below_n")).alias("p"), (F.log10((F.col("n") - DISCOUNT) / F.col("below_n")) - F.col("below_backoff") - F.log10("lower")).alias("change"))
+    two = cut(two, "pair-keys")
+
+    triples = cut(_kept(train, 2), "triples")
+    lowered = cut(_with(triples, "s", two.select("key", "n", "p"), least).select("h", "s", "n", F.col("below_p").alias("lower")), "triples-lower")
+    two = cut(_backoff(two, lowered), "pairs-backoff")
+    three = _with(lowered, "h", two.select("key", "n", "backoff"), least)
+    three = three.select(_key(2), "n", (F.log10((F.col("n") - DISCOUNT) / F.col("below_n")) - F.col("below_backoff") - F.log10("lower")).alias("value"))
+
+    is_word = F.col("key") != start
+    base = F.log10((F.col("n") + ADDED) / F.lit(total.tokens + ADDED * (total.types + 1)))
+    none, zero = F.lit(0).alias("known"), F.lit(0.0)
+    values = words.select("key", "n", F.when(is_word, base).otherwise(zero).alias("base"), (F.when(is_word, F.log10(chance)).otherwise(zero) + F.col("backoff")).alias("value"), F.when(is_word, 1).otherwise(0).alias("known"))
+    values = values.unionByName(two.select("key", "n", zero.alias("base"), (F.col("change") + F.col("backoff")).alias("value"), none))
+    values = values.unionByName(three.select("key", "n", zero.alias("base"), "value", none))
+    return Model(cut(values, "values"), least, total.tokens, total.types, discount * total.types / total.tokens if total.tokens else 1.0)
+
+
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row by `train_model`'s model; as `score` in all else."""
+    head = model.values.where(F.col("n") >= model.least).toPandas().sort_values("key")
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("key", "base", "value", "known")))
+    schema = "doc_id long, text_hash long, key long, own struct<base: double, score: double, tokens: long, known: long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_keys, bases, values, known = shared.value
+
+        def out(ids: list, hashes: list, keys: list, own: list) -> pa.RecordBatch:
+            sizes = np.array([len(k) for k in keys])
+            row, first = np.repeat(np.arange(len(sizes)), sizes), np.zeros(sizes.sum(), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            parts = [pa.array(np.array(x, kind)[row]) for x, kind in zip(zip(*own), (np.float64, np.float64, np.int64, np.int64))]
+            own = pa.StructArray.from_arrays(parts, ["base", "score", "tokens", "known"], mask=pa.array(~first))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.array(hashes, np.int64)[row]), pa.array(np.concatenate(keys)), own], ["doc_id", "text_hash", "key", "own"])
+
+        for b in batches:
+            ids, hashes, keys, own, waiting = [], [], [], [], 0
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                found = tokens(text)
+                mine = np.concatenate(text_keys(found)).view(np.int64)
+                at = np.searchsorted(head_keys, mine)
+                hit = np.zeros(len(mine), bool)
+                if len(head_keys):
+                    at = np.minimum(at, len(head_keys) - 1)
+                    hit = head_keys[at] == mine
+                at, rest = at[hit], mine[~hit]
+                text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+                # A text's own row comes first, under a key of its own.
+                ids.append(doc_id)
+                hashes.append(text_hash)
+                keys.append(np.concatenate((np.array([text_hash ^ (doc_id or 0)], np.int64), rest)))
+                own.append((float(bases[at].sum()), float(values[at].sum()), len(found), int(known[at].sum())))
+                waiting += len(keys[-1])
+                if waiting > ROWS:
+                    yield out(ids, hashes, keys, own)
+                    ids, hashes, keys, own, waiting = [], [], [], [], 0
+            if keys:
+                yield out(ids, hashes, keys, own)
+
+    rows = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    joined = rows.join(model.values.where(F.col("n") < model.least).drop("n").hint("merge"), "key", "left")
+    text_row = F.col("own").isNotNull()
+    add = lambda of_text, of_key, zero: F.sum(F.when(text_row, F.col(f"own.{of_text}")).otherwise(F.coalesce(F.col(of_key), F.lit(zero)))).alias(of_text)
+    sums = joined.groupBy("doc_id", "text_hash").agg(F.count_if(text_row).alias("rows"), F.sum(F.coalesce("own.tokens", F.lit(0))).alias("tokens"), add("known", "known", 0), add("base", "base", 0.0), add("score", "value", 0.0))
+    unknown = F.col("tokens") - F.col("known")
+    base = F.col("base") + unknown * float(np.log10(ADDED / (model.n_tokens + ADDED * (model.n_types + 1))))
+    total = F.col("score") + unknown * float(np.log10(model.unseen))
+    # Rows equal in id and text were summed together.
+    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), (base / F.col("rows")).alias("base_score"), (total / F.col("rows")).alias("score"))

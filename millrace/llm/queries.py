@@ -82,10 +82,10 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     train = docs.where(crc_mod("doc_id", 10) != 0)
     counts = cut(lm.word_counts(train), "words")
-    automaton = lm.train_automaton(train, counts)
+    model = lm.train_model(train, counts)
     held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out")
-    train_tokens = F.lit(automaton.n_tokens).cast("long").alias("train_tokens")
-    return lm.score(docs, automaton, counts).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
+    train_tokens = F.lit(model.n_tokens).cast("long").alias("train_tokens")
+    return lm.score_texts(docs, model).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,39 @@ def test_odd_rows(spark):
     automaton = lm.train_automaton(empty, none)
     assert lm.score(empty, automaton, none).count() == 0
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known == 0 for r in lm.score(df, automaton, none).collect())
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.01])
+def test_whole_model_against_brute_force(spark, monkeypatch, share):
+    """An n-gram seen twice counts, however large its corpus: the share only says what is broadcast."""
+    monkeypatch.setattr(lm, "SHARE", share)
+    rng = random.Random(7)
+    vocabulary = [f"W{i}" for i in range(60)]
+    make = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 30)))
+    train = [make() for _ in range(150)] + ["rare pair here", "x rare pair here y", "", None]
+    brute = Brute(train, 1, 0)
+    c, read = brute.c, [["<s>", *brute_tokens(t)] for t in train]
+    grams = [{g: n for g, n in Counter(g for ws in read for g in zip(*(ws[i:] for i in range(k)))).items() if n >= 2} for k in (2, 3)]
+    brute.order, brute.head = 3, set(c)
+    seen = {(w,): n for w, n in c.items()} | {("<s>",): len(train)}
+    brute.levels = [{}, *({g: (n - lm.DISCOUNT) / below[g[:-1]] for g, n in level.items()} for level, below in zip(grams, (seen, grams[0])))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(train)], SCHEMA)
+    model = lm.train_model(df, lm.word_counts(df))
+    tests = [*train[:10], "rare pair here", "pair here unseen", "w1 rare W2", "", None]
+    rows = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(tests):
+        ws, r = brute_tokens(text), rows[i]
+        assert r.n_tokens == len(ws) and r.n_known == sum(w in c for w in ws)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (brute.N + 0.1 * (brute.V + 1))) for w in ws))
+        assert r.score == pytest.approx(brute.score(text), rel=1e-9)
+
+
+def test_whole_model_odd_rows(spark):
+    rows = [(1, None, "x", 1), (3, "w " * 30_000 + "y" * 90_000, "x", 1), (4, "a b", "x", 1), (4, "a b", "x", 1), (None, "a b", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = lm.score_texts(df, lm.train_model(df, lm.word_counts(df))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (1, 1, 1), (3, 30_002, 30_002), (4, 3, 3), (4, 3, 3)]
+    empty = df.limit(0)
+    none = lm.train_model(empty, lm.word_counts(empty))
+    assert lm.score_texts(empty, none).count() == 0
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known == 0 for r in lm.score_texts(df, none).collect())
