@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, packing, quality, simhash
+from millrace.llm import copies, langid, mixing, packing, quality
 from millrace.llm.common import crc_mod, cut, table
 from millrace.llm.queries import ranks
 
@@ -35,12 +35,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one of the smallest id; of rows that repeat an id, one.
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one of the smallest id; of rows that repeat an id, one.
 
     Documents with null ids yield to those of their group that have one.
     """
-    groups = simhash.near_duplicates(keyed(docs), id_col=KEY)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEY)).distinct()
+    chosen = copies.near_copies(keyed(docs), id_col=KEY).groupBy("root").agg(F.min("doc_id").alias(KEY)).select(KEY).distinct()
     return keyed(docs).join(cut(chosen, "chosen").hint("merge"), KEY).dropDuplicates([KEY]).drop(KEY)
 
 
