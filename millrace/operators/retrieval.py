@@ -39,11 +39,21 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
             found = [best] if best is not None else []
             for at in range(0, len(ids), QUERY_BLOCK):
                 q = matrix[at : at + QUERY_BLOCK]
-                near = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :]
-                top = np.argsort(near, axis=1, kind="stable")[:, : 4 * k] if near.shape[1] > 4 * k else np.tile(np.arange(near.shape[1]), (len(q), 1))
-                for i, row in enumerate(top):
+                of_q, of_x = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+                near = of_q - 2 * q @ x.T + of_x
+                # What rounding may add to or take from a distance; whatever may be among the k nearest is compared exactly.
+                slack = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (of_q + of_x)
+                if near.shape[1] > k:
+                    limit = np.partition(near + slack, k - 1, axis=1)[:, k - 1]
+                    may = ~(near - slack > limit[:, None])  # what is not a number stays
+                else:
+                    may = np.ones(near.shape, bool)
+                for i in range(len(q)):
+                    row = np.flatnonzero(may[i])
                     exact = ((x[row] - q[i]) ** 2).sum(1)
-                    found.append(pd.DataFrame({"query_id": ids[at + i], "id": pdf["id"].to_numpy()[row], "distance": exact}))
+                    held = pdf["id"].to_numpy()[row]
+                    first = np.lexsort((held, exact))[:k]
+                    found.append(pd.DataFrame({"query_id": ids[at + i], "id": held[first], "distance": exact[first]}))
             best = pd.concat(found).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
         if best is not None:
             yield best
