@@ -27,6 +27,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Name of the key that the stages give each document.
 KEY = "corpus_pipeline_key"
+#: Name of what tells rows of one id apart.
+ROW = "corpus_pipeline_row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,12 +37,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one of the smallest id; of rows that repeat an id, one.
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one of the smallest id.
 
+    Of a group's rows with that id the one of the least hash stays, so rows that repeat an id with other texts lose no group.
     Documents with null ids yield to those of their group that have one.
     """
-    chosen = copies.near_copies(keyed(docs), id_col=KEY).groupBy("root").agg(F.min("doc_id").alias(KEY)).select(KEY).distinct()
-    return keyed(docs).join(cut(chosen, "chosen").hint("merge"), KEY).dropDuplicates([KEY]).drop(KEY)
+    rows = keyed(docs).withColumn(ROW, F.xxhash64(*docs.columns))
+    groups = copies.near_copies(rows, id_col=KEY, row_col=ROW)
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias(KEY), F.col("row").alias(ROW))).alias("least")).select("least.*").distinct()
+    return rows.join(cut(chosen, "chosen").hint("merge"), [KEY, ROW]).dropDuplicates([KEY, ROW]).drop(KEY, ROW)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

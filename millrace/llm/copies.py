@@ -53,16 +53,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def _signed(docs: DataFrame, id_col: str) -> DataFrame:
-    """(doc_id, text, set_id, bands) of every row."""
+def _signed(docs: DataFrame, id_col: str, row_col: str | None) -> DataFrame:
+    """(doc_id, text, row, set_id, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             ids = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text", "row", "set_id", "bands"])
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text"), run, "doc_id long, text string, set_id long, bands array<long>")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row")), run, "doc_id long, text string, row long, set_id long, bands array<long>")
 
 
 def _checked(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -83,12 +83,12 @@ def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, set_id, root) of every row: rows linked by copies have one root.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, set_id, root) of every row: rows linked by copies have one root; row is that of `row_col`, or 0.
 
     Texts without words are one group. An empty table gives an empty one.
     """
-    signed = cut(_signed(docs, id_col), "signed")
+    signed = cut(_signed(docs, id_col, row_col), "signed")
     filed = signed.select("set_id", F.explode("bands").alias("key")).distinct()
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", "key")).alias("head")).where("n > 1")
     filed = cut(filed.join(cut(sizes, "buckets").hint("merge"), "key"), "filed")
@@ -107,4 +107,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     second = cut(second.join(first.hint("merge"), ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(_checked(second, signed))
     roots = cut(components(links), "roots").withColumnRenamed("node", "set_id").hint("merge")
-    return signed.select("doc_id", "set_id").join(roots, "set_id", "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root"))
+    return signed.select("doc_id", "row", "set_id").join(roots, "set_id", "left").select("doc_id", "row", "set_id", F.coalesce("root", "set_id").alias("root"))

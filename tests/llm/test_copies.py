@@ -52,3 +52,11 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
         groups[r.root].add(r.doc_id)
     assert {min(g): len(g) for g in groups.values()} == {i: list(want.values()).count(i) for i in set(want.values())}
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
+
+
+def test_repeated_ids_lose_no_group(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.distinct(spark, spark.createDataFrame(order, SCHEMA), sf_dir).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b), (3, c)]
