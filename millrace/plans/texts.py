@@ -68,7 +68,10 @@ def etl05_article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("etl10_markdown_chunks")
 def etl10_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also ETL-12: pages as Markdown, by their headings."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "(?i)<h([1-4])[^>]*>", "\n# "), "<[^>]*>", "\n").alias("md"))
+    md = F.col("html")
+    for depth in range(1, 5):
+        md = F.regexp_replace(md, f"(?i)<h{depth}(?:\\s[^>]*)?>", "\n" + "#" * depth + " ")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(md, "<[^>]*>", "\n").alias("md"))
     return chunking.chunk_markdown(pages, "page_id", "md")
 
 
