@@ -1,447 +1,280 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-Training counts every token. Frequent words (a share of SHARE of all tokens or more) and their frequent n-grams become states:
-the share bounds their number, whatever the corpus, and is the same rule at every size. An arc of a state carries the
-discounted probability of a next word; a failure arc, with the weight that makes the state's probabilities sum to one, leads to
-the state of the shorter history. One traversal from left to right scores a text. The unigram level under all states has every
-word of the corpus: rare words' counts are joined, each met by few texts, and never leave the executors.
-
-Words unseen in training are one more outcome, as in the base model; it gets what discounting takes from the seen.
-
-That automaton is bounded, so it forgets more the larger the corpus is. `train_model` has no such bound: it keeps every n-gram
-seen LEAST times or more, of all words, as a table by hashes. Where an n-gram is kept, so are its parts, and the log probability
-of a text is a plain sum: over its words of log p(w) + backoff(w), over its word pairs and triples of what each changes. So one table
-(key, value) scores all texts by one equi-join. Only keys with a share of SHARE, 1 / SHARE a level at most, are broadcast.
+States are the empty history and every word and word pair met in training. A state's arcs are the n-grams seen LEAST times or
+more, whatever the size of the corpus; an arc's weight is its discounted relative frequency, plus what the failure arc would give. The
+failure arc leads to the state of the shorter history, and its weight is the probability that discounting left over.
+So a state's probabilities sum to one. One traversal from left to right scores a text.
+
+The automaton is never in one place. Its n-grams are keys of 64 bits, dealt to partitions by ranges. Texts become batches of
+numbered words once; a batch sends each partition the distinct keys that it has there, with their counts in training texts,
+sorted, as one row of packed arrays, and gets back the counts over all batches in the same order. Longer n-grams go first: one of the batches
+that have an n-gram is told to send what it takes from its history along with the history's own counts. So every batch ends
+up with the part of the automaton that its texts can reach, and a key that all texts have costs one entry a batch.
+Two keys that are equal by chance would be taken for one n-gram: about one pair in 4e9 different n-grams.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lower_words, map_texts
+from millrace.llm.common import cut, drop, lower_words, map_texts
 
-#: Length of the longest n-grams; their least share of all training tokens; the discount of n-grams of two words or more.
-ORDER, SHARE, DISCOUNT = 3, 1e-6, 0.75
+#: Words of the longest n-grams; their least count; what is taken from each count.
+ORDER, LEAST, DISCOUNT = 3, 2, 0.75
 #: What the base model adds to every count.
 ADDED = 0.1
 #: The token that ends a text; no word is empty.
 END = b""
-#: Words longer than this are known by a digest, so that no key is longer.
-LONGEST = 40
-#: Every n-gram seen so often in training is kept by `train_model`, whatever the corpus.
-LEAST = 2
-#: Rows of keys that a worker hands on at once.
-ROWS = 200_000
-#: Distinct words, and n-grams, that a worker gathers before it hands them on.
-COUNTED, NGRAMS = 300_000, 4_000_000
+#: Tokens in a batch, about, and in a partition of the automaton; partitions at least.
+BATCH, PART, LEAST_PARTS = 2_000_000, 2_000_000, 16
+#: The key of a text's start, and a factor that spreads keys.
+START, SPREAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
-
-def tokens(text: str | None) -> list[bytes]:
-    """A text's words and its end, as keys."""
-    words = lower_words(text)
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w if len(w) <= LONGEST else b" " + xxhash.xxh128_digest(w) for w in words]
-    words.append(END)
-    return words
+TOKENS = "batch long, n_tokens long, doc_id array<long>, sizes array<int>, train array<boolean>, words binary, vocabulary binary"
+SENT = "part int, batch long, keys binary, n binary, taken binary"
+REPLY = "level int, part int, batch long, n binary, taken binary, tokens long, types long"
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n) of every token in the texts of `train`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+def tokens(text: str | None) -> list[bytes]:
+    """A text's words and its end."""
+    return [*lower_words(text), END]
 
-        total: Counter = Counter()
-        for b in batches:
-            for text in b.column(0):
-                total.update(tokens(text.as_py()))
-            if len(total) > COUNTED:
-                yield out(total)
-                total = Counter()
-        yield out(total)
 
-    return map_texts(train.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def packed(x: np.ndarray) -> bytes:
+    """The array's bytes, all first bytes first, so that equal high bytes compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-class Automaton:
-    """Frequent words by number, then levels of arcs: level k holds n-grams of k words, each a state of its own.
+def unpacked(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-    An n-gram's code is its history's state on the level below times the number of words, plus its last word.
-    A level's codes are sorted; a state is its place among them.
-    """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n_tokens: int, n_types: int, discount: float, n_texts: int):
-        self.size = len(words) + 1  # the last number is a text's start
-        self.ids = dict(zip(words, range(len(words))))
-        self.words = words
-        self.n_tokens, self.n_types = n_tokens, n_types
-        self.discount, self.unseen = discount, (discount * n_types / n_tokens if n_tokens else 1.0)
-        with np.errstate(divide="ignore"):
-            self.base = np.log10((counts + ADDED) / (n_tokens + ADDED * (n_types + 1)))
-        #: Of every level: codes, log probabilities, how often a state is followed by a token, weight of the failure arc.
-        self.codes: list[np.ndarray] = [np.arange(self.size)]
-        self.logs: list[np.ndarray] = [np.log10(np.append(counts - discount, 1)) - np.log10(max(n_tokens, 1))]
-        self.seen: list[np.ndarray] = [np.append(counts, n_texts)]
-        self.fails: list[np.ndarray] = [np.zeros(self.size)]
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Numbers of a text's tokens (-1: rare), and its state on every level before and after each token (-1: none)."""
-        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-        states = [np.concatenate(([self.size - 1], ids))]
-        for codes in self.codes[1:]:
-            history, after = states[-1][:-1], np.full(len(ids), -1)
-            if len(codes):
-                may = np.flatnonzero((history >= 0) & (ids >= 0))
-                code = history[may] * self.size + ids[may]
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[at] == code
-                after[may[hit]] = at[hit]
-            states.append(np.concatenate(([-1], after)))
-        return ids, states
-
-    def score(self, words: list[bytes]) -> tuple[float, np.ndarray]:
-        """Log10 probability of a text without what its rare words have of the unigram level, and its tokens' numbers (-1: rare).
-
-        A token's arc is the one on the highest level that has it. The failure arcs taken are those of the states above.
-        """
-        ids, states = self.read(words)
-        total, open_ = np.zeros(len(words)), np.ones(len(words), bool)
-        for level in range(len(self.codes) - 1, -1, -1):
-            after = states[level][1:]
-            hit = open_ & (after >= 0)
-            total[hit] += self.logs[level][after[hit]]
-            open_ &= ~hit
-            if level:
-                before = states[level - 1][:-1]
-                fall = open_ & (before >= 0)
-                total[fall] += self.fails[level - 1][before[fall]]
-        return float(total.sum()), ids
-
-    def add_level(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the n-grams one word longer than the longest so far."""
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        history, last = codes // self.size, codes % self.size
-        own = (counts - DISCOUNT) / self.seen[-1][history]
-        lower = 10 ** self._lower(history, last)
-        kept, below = np.bincount(history, own, len(self.codes[-1])), np.bincount(history, lower, len(self.codes[-1]))
-        self.fails[-1] = np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0)
-        self.codes.append(codes)
-        self.logs.append(np.log10(own))
-        self.seen.append(np.where(last == self.ids.get(END, -1), 1, counts))
-        self.fails.append(np.zeros(len(codes)))
-
-    def _lower(self, history: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Log probability of the words after histories without their first word; histories are states of the highest level."""
-        total, open_, level = np.zeros(len(last)), np.ones(len(last), bool), len(self.codes) - 1
-        state = history
-        while level:
-            state = self._shorter(state, level)  # on level - 1
-            level -= 1
-            code = state * self.size + last
-            codes = self.codes[level + 1]
-            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-            hit = open_ & (state >= 0) & (codes[at] == code)
-            total[hit] += self.logs[level + 1][at[hit]]
-            open_ &= ~hit
-            fall = open_ & (state >= 0)
-            total[fall] += self.fails[level][state[fall]]
-            if (state < 0).all():
-                break
-        return total + np.where(open_, self.logs[0][last], 0)
-
-    def _shorter(self, state: np.ndarray, level: int) -> np.ndarray:
-        """The state one level below for histories without their first word; -1 where there is none."""
-        history, last = self.codes[level][np.maximum(state, 0)] // self.size, self.codes[level][np.maximum(state, 0)] % self.size
-        if level == 1:
-            return np.where(state >= 0, last, -1)
-        before = self._shorter(history, level - 1)
-        code, codes = before * self.size + last, self.codes[level - 1]
-        at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-        return np.where((state >= 0) & (before >= 0) & (codes[at] == code), at, -1)
-
-
-def _ngram_counts(train: DataFrame, shared) -> DataFrame:
-    """(code, n) of the n-grams one word longer than the automaton's longest."""
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, parts, waiting = shared.value, [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            for i in range(0, len(codes), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 50_000]), pa.array(n[i : i + 50_000])], ["code", "n"])
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
-        for b in batches:
-            for text in b.column(0):
-                ids, states = automaton.read(tokens(text.as_py()))
-                history = states[-1][:-1]
-                both = (history >= 0) & (ids >= 0)
-                parts.append(history[both] * automaton.size + ids[both])
-                waiting += len(parts[-1])
-            if waiting > NGRAMS:
-                yield from out()
-                parts, waiting = [], 0
-        if parts:
-            yield from out()
-
-    return map_texts(train.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train_automaton(train: DataFrame, counts: DataFrame, order: int = ORDER, share: float = SHARE) -> Automaton:
-    """The automaton of the texts of `train`, whose word counts are `counts`. The driver gets at most 1 / share words and n-grams a level."""
-    spark = train.sparkSession
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
-                       F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("texts")).first()
-    least = max(1.0, share * total.tokens)
-    head = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    discount = total.once / (total.once + 2 * total.twice) if total.once and total.twice else 0.5
-    automaton = Automaton([bytes(w) for w in head.word], head.n.to_numpy(np.int64), total.tokens, total.types, discount, total.texts)
-    for _ in range(order - 1):
-        shared = spark.sparkContext.broadcast(automaton)
-        found = _ngram_counts(train, shared).where(F.col("n") >= least).toPandas()
-        automaton.add_level(found.code.to_numpy(np.int64), found.n.to_numpy(np.int64))
-        shared.unpersist()
-    return automaton
-
-
-def score(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row.
-
-    Null and empty texts have the end as their only token. Rows that repeat are scored alike. An empty table gives an empty one.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    schema = "doc_id long, text_hash long, word binary, times int, own struct<base: double, score: double, tokens: long, known: long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            hashes, words, times, own, sizes = [], [], [], [], []
-            for text in b.column(1):
-                text = text.as_py()
-                found = tokens(text)
-                total, ids = model.score(found)
-                known = ids[ids >= 0]
-                tail = Counter(found[i] for i in np.flatnonzero(ids < 0).tolist())
-                text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
-                # A text's own row has a key that no word has: it starts with two spaces.
-                words += [b"  " + text_hash.to_bytes(8, "little", signed=True), *tail]
-                times += [1, *tail.values()]
-                hashes.append(text_hash)
-                own.append((float(model.base[known].sum()), total, len(found), len(known)))
-                sizes.append(len(tail) + 1)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            first = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
-            own = pa.StructArray.from_arrays(
-                [pa.array(np.array(values, kind)[row]) for values, kind in zip(zip(*own), (np.float64, np.float64, np.int64, np.int64))] if own else [pa.array([], k) for k in (pa.float64(), pa.float64(), pa.int64(), pa.int64())],
-                ["base", "score", "tokens", "known"], mask=pa.array(~first))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array(np.array(hashes, np.int64)[row]), pa.array(words, pa.binary()), pa.array(times, pa.int32()), own], ["doc_id", "text_hash", "word", "times", "own"])
-
-    rows = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
-    joined = rows.join(counts, "word", "left")
-    n, text_row = F.coalesce("n", F.lit(0)), F.col("own").isNotNull()
-    base = F.log10((n + ADDED) / F.lit(automaton.n_tokens + ADDED * (automaton.n_types + 1)))
-    level = F.when(n > 0, F.log10((n - automaton.discount) / max(automaton.n_tokens, 1))).otherwise(F.lit(float(np.log10(automaton.unseen))))
-    tail = lambda x: F.when(~text_row, F.col("times") * x).otherwise(F.lit(0))
-    sums = joined.groupBy("doc_id", "text_hash").agg(
-        F.count_if(text_row).alias("rows"),
-        F.sum(F.coalesce("own.tokens", F.lit(0))).alias("tokens"),
-        F.sum(F.coalesce("own.known", F.lit(0)) + tail(F.when(n > 0, 1).otherwise(0))).alias("known"),
-        F.sum(F.coalesce("own.base", F.lit(0.0)) + tail(base)).alias("base"),
-        F.sum(F.coalesce("own.score", F.lit(0.0)) + tail(level)).alias("score"))
-    # Rows equal in id and text were summed together.
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
-
-
-#: The key of a text's start.
-START = np.uint64(0x9E3779B97F4A7C15)
-
-
-#: How far a history's key is turned, by level; were they equal, the word in a triple's middle would cancel out.
-TURNS = {1: 5, 2: 24}
-
-
-def _joined(history: np.ndarray, suffix: np.ndarray, level: int) -> np.ndarray:
-    """Keys of n-grams of level + 1 words from those of their parts."""
-    by = np.uint64(TURNS[level])
-    return ((history << by) | (history >> (np.uint64(64) - by))) ^ suffix
-
-
-def text_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a text's start and tokens, of its pairs, and of its triples. An n-gram's key is made of its history's and its suffix's."""
-    digest = xxhash.xxh64_intdigest
-    one = np.concatenate(([START], np.fromiter(map(digest, words), np.uint64, len(words))))
-    two = _joined(one[:-1], one[1:], 1)
-    return one, two, _joined(two[:-1], two[1:], 2)
-
-
-def _key(level: int) -> Column:
-    """What `_joined` gives, from the columns h and s."""
-    return F.shiftleft("h", TURNS[level]).bitwiseOR(F.shiftrightunsigned("h", 64 - TURNS[level])).bitwiseXOR(F.col("s")).alias("key")
-
-
-def _kept(train: DataFrame, level: int) -> DataFrame:
-    """(h, s, n) of the n-grams of level + 1 words seen LEAST times or more: keys of history and suffix, count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, waiting = [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            h, s = (np.concatenate(x) for x in zip(*parts))
-            _, first, n = np.unique(_joined(h, s, level), return_index=True, return_counts=True)
-            h, s = h[first].view(np.int64), s[first].view(np.int64)
-            for i in range(0, len(n), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in (h, s, n.astype(np.int64))], ["h", "s", "n"])
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where an array's values differ from the one before; the first does."""
+    return np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))
 
-        for b in batches:
-            for text in b.column(0):
-                below = text_keys(tokens(text.as_py()))[level - 1]
-                parts.append((below[:-1], below[1:]))
-                waiting += len(below) - 1
-            if waiting > NGRAMS:
-                yield from out()
-                parts, waiting = [], 0
-        if waiting:
-            yield from out()
 
-    return map_texts(train.select("text"), run, "h long, s long, n long").groupBy("h", "s").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams, from those of their histories and last words."""
+    return (history ^ (history >> np.uint64(29))) * SPREAD + word
 
 
-def _hashed(counts: DataFrame) -> DataFrame:
-    """(key, n) of words."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """Batches of whole texts of `docs` (doc_id, text, train): each word by its number in the batch's vocabulary of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in b.column(0)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], ["key", "n"])
-
-    return counts.select("word", "n").mapInArrow(run, "key long, n long")
-
+        task, made = TaskContext.get().partitionId(), 0
+        number: dict[bytes, int] = {}
+        ids, sizes, train, words, waiting = [], [], [], [], 0
 
-def _with(rows: DataFrame, column: str, below: DataFrame, least: float) -> DataFrame:
-    """`rows` joined by `column` with `below` (key, ...; every key is there), frequent keys by broadcast, so that no key is hot.
-
-    `below` has the count n; at most 1 / SHARE of its keys have `least` or more.
-    """
-    named = below.select(F.col("key").alias(column), *(F.col(c).alias(f"below_{c}") for c in below.columns if c != "key"))
-    head = F.broadcast(named.where(F.col("below_n") >= least))
-    tail = named.where(F.col("below_n") < least)
-    return rows.join(head, column).unionByName(rows.join(head.select(column), column, "left_anti").join(tail.hint("merge"), column))
+        def out() -> pa.RecordBatch:
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+            columns = [[(task << 32) + made], [waiting], [ids], [sizes], [train], [packed(np.concatenate(words))], [packed(keys)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
+        SCHEMA = pa.schema([("batch", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("train", pa.list_(pa.bool_())), ("words", pa.binary()), ("vocabulary", pa.binary())])
+        for b in batches:
+            for doc_id, text, trains in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                found = tokens(text.as_py())
+                words.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.uint32, len(found)))
+                ids.append(doc_id)
+                sizes.append(len(found))
+                train.append(trains)
+                waiting += len(found)
+                if waiting >= BATCH:
+                    yield out()
+                    made, number = made + 1, {}
+                    ids, sizes, train, words, waiting = [], [], [], [], 0
+        if ids:
+            yield out()
 
-def _backoff(below: DataFrame, grams: DataFrame) -> DataFrame:
-    """`below` with log10 weights of its keys as histories of `grams` (h, n, lower: probability after the shorter history); 0 without any."""
-    sums = grams.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("own"), F.sum("lower").alias("lower_sum")).withColumnRenamed("h", "key")
-    left, open_ = F.greatest(1 - F.col("own") / F.col("n"), F.lit(1e-12)), F.greatest(1 - F.col("lower_sum"), F.lit(1e-12))
-    weight = F.coalesce(F.log10(left / open_), F.lit(0.0)).alias("backoff")
-    return below.join(sums.hint("merge"), "key", "left").select(*below.columns, weight)
+    return map_texts(docs, run, TOKENS)
 
 
 @dataclass
-class Model:
-    """`values`: (key, n, base, value, known) of every word and kept n-gram; keys of n >= least are the head."""
-
-    values: DataFrame
-    least: float
-    n_tokens: int
-    n_types: int
-    unseen: float
-
-
-def train_model(train: DataFrame, counts: DataFrame) -> Model:
-    """The model of the texts of `train`, whose word counts are `counts`: all words, pairs and triples seen LEAST times or more."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"),
-                       F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("texts")).first()
-    discount = total.once / (total.once + 2 * total.twice) if total.once and total.twice else 0.5
-    tokens_, start = max(total.tokens, 1), int(START.view(np.int64))
-    least = max(float(LEAST), SHARE * total.tokens)
-    begin = train.sparkSession.createDataFrame([(start, total.texts)], "key long, n long").where("n > 0")
-    words = cut(_hashed(counts).unionByName(begin), "word-keys")
-    chance = (F.col("n") - discount) / tokens_
-
-    pairs = cut(_kept(train, 1), "pairs")
-    lowered = cut(_with(pairs, "s", words, least).select("h", "s", "n", ((F.col("below_n") - discount) / tokens_).alias("lower")), "pairs-lower")
-    words = cut(_backoff(words, lowered), "words-backoff")
-    two = _with(lowered, "h", words, least).select(_key(1), "n", ((F.col("n") - DISCOUNT) / F.col("below_n")).alias("p"), (F.log10((F.col("n") - DISCOUNT) / F.col("below_n")) - F.col("below_backoff") - F.log10("lower")).alias("change"))
-    two = cut(two, "pair-keys")
-
-    triples = cut(_kept(train, 2), "triples")
-    lowered = cut(_with(triples, "s", two.select("key", "n", "p"), least).select("h", "s", "n", F.col("below_p").alias("lower")), "triples-lower")
-    two = cut(_backoff(two, lowered), "pairs-backoff")
-    three = _with(lowered, "h", two.select("key", "n", "backoff"), least)
-    three = three.select(_key(2), "n", (F.log10((F.col("n") - DISCOUNT) / F.col("below_n")) - F.col("below_backoff") - F.log10("lower")).alias("value"))
-
-    is_word = F.col("key") != start
-    base = F.log10((F.col("n") + ADDED) / F.lit(total.tokens + ADDED * (total.types + 1)))
-    none, zero = F.lit(0).alias("known"), F.lit(0.0)
-    values = words.select("key", "n", F.when(is_word, base).otherwise(zero).alias("base"), (F.when(is_word, F.log10(chance)).otherwise(zero) + F.col("backoff")).alias("value"), F.when(is_word, 1).otherwise(0).alias("known"))
-    values = values.unionByName(two.select("key", "n", zero.alias("base"), (F.col("change") + F.col("backoff")).alias("value"), none))
-    values = values.unionByName(three.select("key", "n", zero.alias("base"), "value", none))
-    return Model(cut(values, "values"), least, total.tokens, total.types, discount * total.types / total.tokens if total.tokens else 1.0)
-
-
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row by `train_model`'s model; as `score` in all else."""
-    head = model.values.where(F.col("n") >= model.least).toPandas().sort_values("key")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("key", "base", "value", "known")))
-    schema = "doc_id long, text_hash long, key long, own struct<base: double, score: double, tokens: long, known: long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, bases, values, known = shared.value
-
-        def out(ids: list, hashes: list, keys: list, own: list) -> pa.RecordBatch:
-            sizes = np.array([len(k) for k in keys])
-            row, first = np.repeat(np.arange(len(sizes)), sizes), np.zeros(sizes.sum(), bool)
-            first[np.cumsum(sizes) - sizes] = True
-            parts = [pa.array(np.array(x, kind)[row]) for x, kind in zip(zip(*own), (np.float64, np.float64, np.int64, np.int64))]
-            own = pa.StructArray.from_arrays(parts, ["base", "score", "tokens", "known"], mask=pa.array(~first))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.array(hashes, np.int64)[row]), pa.array(np.concatenate(keys)), own], ["doc_id", "text_hash", "key", "own"])
-
-        for b in batches:
-            ids, hashes, keys, own, waiting = [], [], [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                found = tokens(text)
-                mine = np.concatenate(text_keys(found)).view(np.int64)
-                at = np.searchsorted(head_keys, mine)
-                hit = np.zeros(len(mine), bool)
-                if len(head_keys):
-                    at = np.minimum(at, len(head_keys) - 1)
-                    hit = head_keys[at] == mine
-                at, rest = at[hit], mine[~hit]
-                text_hash = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
-                # A text's own row comes first, under a key of its own.
-                ids.append(doc_id)
-                hashes.append(text_hash)
-                keys.append(np.concatenate((np.array([text_hash ^ (doc_id or 0)], np.int64), rest)))
-                own.append((float(bases[at].sum()), float(values[at].sum()), len(found), int(known[at].sum())))
-                waiting += len(keys[-1])
-                if waiting > ROWS:
-                    yield out(ids, hashes, keys, own)
-                    ids, hashes, keys, own, waiting = [], [], [], [], 0
-            if keys:
-                yield out(ids, hashes, keys, own)
-
-    rows = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
-    joined = rows.join(model.values.where(F.col("n") < model.least).drop("n").hint("merge"), "key", "left")
-    text_row = F.col("own").isNotNull()
-    add = lambda of_text, of_key, zero: F.sum(F.when(text_row, F.col(f"own.{of_text}")).otherwise(F.coalesce(F.col(of_key), F.lit(zero)))).alias(of_text)
-    sums = joined.groupBy("doc_id", "text_hash").agg(F.count_if(text_row).alias("rows"), F.sum(F.coalesce("own.tokens", F.lit(0))).alias("tokens"), add("known", "known", 0), add("base", "base", 0.0), add("score", "value", 0.0))
-    unknown = F.col("tokens") - F.col("known")
-    base = F.col("base") + unknown * float(np.log10(ADDED / (model.n_tokens + ADDED * (model.n_types + 1))))
-    total = F.col("score") + unknown * float(np.log10(model.unseen))
-    # Rows equal in id and text were summed together.
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), (base / F.col("rows")).alias("base_score"), (total / F.col("rows")).alias("score"))
+class Grams:
+    """The distinct n-grams of a level in a batch: keys, counts in training texts, a position of each; of every position, which it is (-1: none)."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    which: np.ndarray
+
+
+class Batch:
+    """A batch's positions: every text's start and then its tokens."""
+
+    def __init__(self, row: dict):
+        sizes = np.array(row["sizes"], np.int64)
+        words, vocabulary = unpacked(row["words"], np.uint32), unpacked(row["vocabulary"], np.uint64)
+        self.doc_id, self.sizes = row["doc_id"], sizes
+        self.first = np.cumsum(sizes + 1) - sizes - 1
+        #: How far a position is from its text's start.
+        self.offset = np.arange(len(words) + len(sizes)) - np.repeat(self.first, sizes + 1)
+        self.train = np.repeat(np.array(row["train"], bool), sizes + 1)
+        #: Numbers of the words; the start has the number after the last.
+        self.word = np.full(len(self.offset), len(vocabulary), np.int64)
+        self.word[self.offset > 0] = words
+        self.vocabulary = np.append(vocabulary, START)
+
+    @cached_property
+    def keys(self) -> list[np.ndarray]:
+        """Of every level: the key of the n-gram that ends at each position, where there is one."""
+        out = [self.vocabulary[self.word]]
+        for _ in range(ORDER - 1):
+            out.append(longer(np.roll(out[-1], 1), out[0]))
+        return out
+
+    def grams(self, level: int) -> Grams:
+        """The n-grams of `level` words; a text's start counts as a word, and is before all others."""
+        there = np.flatnonzero(self.offset >= level - 1)
+        keys = self.keys[level - 1][there]
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = _changes(keys)
+        starts = np.flatnonzero(new)
+        which = np.full(len(self.offset), -1)
+        which[there[order]] = np.cumsum(new) - 1
+        n = np.add.reduceat(self.train[there[order]].astype(np.int64), starts)
+        return Grams(keys[starts], n, there[order[starts]], which)
+
+
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions are ranges of keys, so ascending keys have ascending partitions."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _send(number: int, grams: Grams, taken: np.ndarray, parts: int) -> pa.Table:
+    """One row of SENT for each partition that has some of the batch's keys. taken: what longer n-grams take from each."""
+    part = _parts_of(grams.keys, parts)
+    cuts = np.flatnonzero(_changes(part))
+    rows = [(int(part[i]), number, packed_keys(grams.keys[i:j]), packed(grams.n[i:j].astype(np.uint32)), packed(taken[i:j])) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["part", "batch", "keys", "n", "taken"])
+
+
+def _sum_up(level: int) -> Callable[[pa.Table], pa.Table]:
+    """Answers what batches sent to a partition: sums by key. The lowest bit of a count tells one of them to go on with its history."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        batches = sent.column("batch").to_pylist()
+        keys = [unpacked_keys(k.as_py()) for k in sent.column("keys")]
+        ends = np.cumsum([len(k) for k in keys])
+        keys = np.concatenate(keys)
+        n = np.concatenate([unpacked(x.as_py(), np.uint32) for x in sent.column("n")]).astype(np.uint64)
+        taken = np.concatenate([unpacked(x.as_py(), np.float64) for x in sent.column("taken")])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = _changes(keys)
+        starts = np.flatnonzero(new)
+        sums, all_taken, which = np.add.reduceat(n[order], starts), np.add.reduceat(taken[order], starts), np.cumsum(new) - 1
+        reply, back = np.empty(len(order), np.uint64), np.empty(len(order))
+        reply[order], back[order] = sums[which] * np.uint64(2) + (new & (sums[which] >= LEAST)), all_taken[which]
+        word = (sums > 0) & (keys[starts] != START) if level == 1 else np.zeros(len(sums), bool)
+        totals = [(int(sums[word].sum()), int(word.sum())), *[(0, 0)] * (len(batches) - 1)]
+        rows = [(level, sent.column("part")[0].as_py(), batch, packed(reply[i:j]), packed(back[i:j]), *total) for batch, i, j, total in zip(batches, [0, *ends[:-1]], ends, totals)]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["level", "part", "batch", "n", "taken", "tokens", "types"])
+
+    return run
+
+
+def _answers(replies: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's n-grams of a level, in the order of their keys: counts, whether it goes on with their histories, what is taken from them."""
+    rows = sorted((r for r in replies.select(["level", "part", "n", "taken"]).to_pylist() if r["level"] == level), key=lambda r: r["part"])
+    n = np.concatenate([unpacked(r["n"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
+    taken = np.concatenate([unpacked(r["taken"], np.float64) for r in rows]) if rows else np.zeros(0)
+    return (n >> np.uint64(1)).astype(np.float64), (n & np.uint64(1)).astype(bool), taken
+
+
+def _ask(level: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a batch sends for n-grams of `level` words once it knows the counts of those a word longer."""
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        batch = Batch(rows.to_pylist()[0])
+        grams, taken = batch.grams(level), np.zeros(0)
+        if level < ORDER:
+            above = batch.grams(level + 1)
+            n, mine, _ = _answers(replies, level + 1)
+            history = grams.which[above.at[mine] - 1]
+            taken = np.bincount(history, n[mine] - DISCOUNT, len(grams.keys))
+        return _send(rows.column("batch")[0].as_py(), grams, taken if len(taken) else np.zeros(len(grams.keys)), parts)
+
+    return run
+
+
+def _traverse(n_tokens: int, n_types: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores a batch's texts with its part of the automaton."""
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        batch = Batch(rows.to_pylist()[0])
+        count, _, taken = _answers(replies, 1)
+        words = batch.grams(1)
+        n = count[words.which]
+        p = (n + ADDED) / (n_tokens + ADDED * (n_types + 1))
+        token = batch.offset > 0
+        base, known = np.where(token, np.log10(p), 0), token & (n > 0)
+        state = words.which  # of every position, the state after it
+        for level in range(2, ORDER + 1):
+            grams = batch.grams(level)
+            above, _, above_taken = _answers(replies, level)
+            before = np.roll(state, 1)
+            total = np.where(before >= 0, count[before], 0)
+            there = np.flatnonzero((grams.which >= 0) & (total > 0))  # elsewhere the history is no state
+            before, total, mine = before[there], total[there], above[grams.which[there]]
+            p[there] = np.where(mine >= LEAST, mine - DISCOUNT, 0) / total + (1 - taken[before] / total) * p[there]
+            count, taken, state = above, above_taken, grams.which
+            del grams
+        sums = [np.add.reduceat(x, batch.first) for x in (known.astype(np.int64), base, np.where(token, np.log10(p), 0))]
+        return pa.table([pa.array(batch.doc_id, pa.int64()), pa.array(batch.sizes), *map(pa.array, sums)], [f.split()[0] for f in SCORES.split(", ")])
+
+    return run
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row, by the model of the rows where `train` is true.
+
+    Null and empty texts have the end as their only token. Rows that repeat are scored alike, and count in training each. Very long texts
+    are a batch of their own. Null ids stay null. Where `train` is null, a row isn't trained on. Other columns don't matter. Without
+    training texts, all is unseen. An empty table gives an empty one.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    batches = cut(numbered(texts), "tokens")
+    n = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, -(-n // PART))
+    by_batch = batches.groupBy("batch")
+    replies: list[DataFrame] = []
+    for level in range(ORDER, 0, -1):
+        if replies:
+            sent = by_batch.cogroup(replies[-1].groupBy("batch")).applyInArrow(_ask(level, parts), SENT)
+        else:
+            ask = _ask(level, parts)
+            sent = by_batch.applyInArrow(lambda rows: ask(rows, None), SENT)
+        replies.append(cut(sent.groupBy("part").applyInArrow(_sum_up(level), REPLY), "replies"))
+    total = replies[-1].agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    answers = replies[0]
+    for more in replies[1:]:
+        answers = answers.unionByName(more)
+    scores = cut(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_traverse(total.tokens, total.types), SCORES), "scores")
+    drop(batches, *replies)
+    return scores.withColumn("train_tokens", F.lit(total.tokens).cast("long"))

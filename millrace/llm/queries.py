@@ -79,13 +79,9 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = docs.where(crc_mod("doc_id", 10) != 0)
-    counts = cut(lm.word_counts(train), "words")
-    model = lm.train_model(train, counts)
+    docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out")
-    train_tokens = F.lit(model.n_tokens).cast("long").alias("train_tokens")
-    return lm.score_texts(docs, model).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
+    return lm.score(docs, crc_mod("doc_id", 10) != 0).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import lm, queries
 
-SCHEMA = "doc_id long, text string, word string, n int"
+SCHEMA = "doc_id long, text string, word string, n int, train boolean"
 
 
 def brute_tokens(text):
@@ -19,127 +21,91 @@ def brute_tokens(text):
 class Brute:
     """The same model from plain dictionaries, token by token."""
 
-    def __init__(self, texts, order, share):
-        read = [brute_tokens(t) for t in texts]
-        self.c, self.order = Counter(w for ws in read for w in ws), order
-        self.N, self.V = sum(self.c.values()), len(self.c)
-        once, twice = (sum(n == k for n in self.c.values()) for k in (1, 2))
-        self.d = once / (once + 2 * twice) if once and twice else 0.5
-        self.head = {w for w, n in self.c.items() if n >= max(1, share * self.N)}
-        seen = {(w,): self.c[w] for w in self.head} | {("<s>",): len(read)}
-        self.levels = [{}]
-        for k in range(2, order + 1):
-            grams = Counter()
-            for ws in read:
-                ws = ["<s>", *ws]
-                for i in range(len(ws) - k + 1):
-                    g = tuple(ws[i : i + k])
-                    if g[:-1] in seen and g[-1] in self.head:
-                        grams[g] += 1
-            grams = {g: n for g, n in grams.items() if n >= max(1, share * self.N)}
-            self.levels.append({g: (n - lm.DISCOUNT) / seen[g[:-1]] for g, n in grams.items()})
-            seen = dict(grams)
+    def __init__(self, texts):
+        read = [["<s>", *brute_tokens(t)] for t in texts]
+        self.grams = [Counter(g for ws in read for g in zip(*(ws[i:] for i in range(k)))) for k in (1, 2, 3)]
+        starts = self.grams[0].pop(("<s>",), 0)
+        self.N, self.V, self.c = sum(self.grams[0].values()), len(self.grams[0]), {g[0]: n for g, n in self.grams[0].items()}
+        self.seen = {**self.grams[0], ("<s>",): starts, **self.grams[1]}
+        self.arcs = {g: n - 0.75 for level in self.grams[1:] for g, n in level.items() if n >= 2}
+        self.given = Counter()
+        for g, n in self.arcs.items():
+            self.given[g[:-1]] += n
 
     def p(self, history, w):
         if not history:
-            return (self.c[w] - self.d) / self.N if w in self.c else self.d * self.V / self.N
-        if w in self.head and (*history, w) in self.levels[len(history)]:
-            return self.levels[len(history)][(*history, w)]
-        mine = {g: p for g, p in self.levels[len(history)].items() if g[:-1] == history}
-        lower = sum(self.p(history[1:], g[-1]) for g in mine)
-        weight = max(1 - sum(mine.values()), 1e-12) / max(1 - lower, 1e-12) if mine else 1
-        return weight * self.p(history[1:], w)
+            return (self.c.get(w, 0) + 0.1) / (self.N + 0.1 * (self.V + 1))
+        if not self.seen.get(history):
+            return self.p(history[1:], w)
+        return (self.arcs.get((*history, w), 0) + (self.seen[history] - self.given[history]) * self.p(history[1:], w)) / self.seen[history]
 
     def score(self, text):
-        ws, total = ["<s>", *brute_tokens(text)], 0
-        for i in range(1, len(ws)):
-            total += math.log10(self.p(tuple(ws[max(0, i - self.order + 1) : i]), ws[i]))
-        return total
+        ws = ["<s>", *brute_tokens(text)]
+        return sum(math.log10(self.p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws)))
 
+    def check(self, text, r):
+        ws = brute_tokens(text)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in self.c for w in ws), self.N)
+        assert r.base_score == pytest.approx(sum(math.log10(self.p((), w)) for w in ws))
+        assert r.score == pytest.approx(self.score(text), rel=1e-9)
 
-@pytest.mark.parametrize("order, share", [(1, 1e-6), (2, 1e-6), (3, 0.004), (4, 0.01)])
-def test_against_brute_force(spark, order, share):
-    rng = random.Random(order)
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_against_brute_force(spark, partitions):
+    rng = random.Random(partitions)
     vocabulary = [f"W{i}" for i in range(40)]
     make = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(40)], k=rng.randint(0, 30)))
-    train = [make() for _ in range(120)] + ["a b c d e f g"] * 6
-    brute = Brute(train, order, share)
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(train)], SCHEMA)
-    counts = lm.word_counts(df)
-    automaton = lm.train_automaton(df, counts, order, share)
-    tests = train[:10] + [make() + " unseen words w1" for _ in range(10)] + ["A b\tc d\ne f g", "", None]
-    rows = lm.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), automaton, counts).collect()
+    train = [make() for _ in range(120)] + ["a b c d e f g"] * 6 + ["rare pair here", "x rare pair here y", "", None]
+    tests = train[:10] + [make() + " unseen words w1" for _ in range(10)] + ["A b\tc d\ne f g", "pair here unseen", "w1 rare W2", "", None]
+    texts = [*train, *tests]
+    brute = Brute(train)
+    df = spark.createDataFrame([(i, t, "x", 1, i < len(train)) for i, t in enumerate(texts)], SCHEMA).repartition(partitions)
+    rows = lm.score(df, F.col("train")).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        ws = brute_tokens(tests[r.doc_id])
-        assert r.n_tokens == len(ws) and r.n_known == sum(w in brute.c for w in ws)
-        assert r.base_score == pytest.approx(sum(math.log10((brute.c[w] + 0.1) / (brute.N + 0.1 * (brute.V + 1))) for w in ws))
-        assert r.score == pytest.approx(brute.score(tests[r.doc_id]), rel=1e-9)
-    for history in [(), ("<s>",), ("w0",), ("w1",), ("w0", "w1"), ("<s>", "w0")]:
-        if len(history) < order:
-            assert sum(brute.p(history, w) for w in [*brute.c, "unseen"]) == pytest.approx(1)
+        brute.check(texts[r.doc_id], r)
+    for history in [(), ("<s>",), ("w0",), ("w1",), ("w0", "w1"), ("<s>", "w0"), ("a", "b")]:
+        assert sum(brute.p(history, w) for w in [*brute.c, "unseen"]) == pytest.approx(1)
 
 
-def test_query_and_held_out_gain(spark, sf_dir):
+def test_query(spark, sf_dir):
+    """Every score of the query, and that it gains on the base model for held-out texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    train = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 10]
-    c = Counter(w for d in train for w in brute_tokens(d.text))
-    total = sum(c.values())
+    brute = Brute([d.text for d in docs if zlib.crc32(str(d.doc_id).encode()) % 10])
     got = {r.doc_id: r for r in queries.op6_lm(spark, sf_dir).collect()}
     assert len(got) == len(docs)
     for d in docs:
-        ws, r = brute_tokens(d.text), got[d.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in c for w in ws), total)
-        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 10 == 0)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (len(c) + 1))) for w in ws))
-        assert r.score < 0
+        brute.check(d.text, got[d.doc_id])
+        assert got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 10 == 0)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "x", 1), (2, "", "x", 1), (3, "w " * 30_000 + "y" * 90_000, "x", 1), (4, "a b", "x", 1), (4, "a b", "x", 1), (None, "a b", "x", 1)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    counts = lm.word_counts(df)
-    got = lm.score(df, lm.train_automaton(df, counts), counts).collect()
-    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (1, 1, 1), (2, 1, 1), (3, 30_002, 30_002), (4, 3, 3), (4, 3, 3)]
-    empty = df.limit(0)
-    none = lm.word_counts(empty)
-    automaton = lm.train_automaton(empty, none)
-    assert lm.score(empty, automaton, none).count() == 0
-    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known == 0 for r in lm.score(df, automaton, none).collect())
-
-
-@pytest.mark.parametrize("share", [1e-6, 0.01])
-def test_whole_model_against_brute_force(spark, monkeypatch, share):
-    """An n-gram seen twice counts, however large its corpus: the share only says what is broadcast."""
-    monkeypatch.setattr(lm, "SHARE", share)
-    rng = random.Random(7)
-    vocabulary = [f"W{i}" for i in range(60)]
-    make = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 30)))
-    train = [make() for _ in range(150)] + ["rare pair here", "x rare pair here y", "", None]
-    brute = Brute(train, 1, 0)
-    c, read = brute.c, [["<s>", *brute_tokens(t)] for t in train]
-    grams = [{g: n for g, n in Counter(g for ws in read for g in zip(*(ws[i:] for i in range(k)))).items() if n >= 2} for k in (2, 3)]
-    brute.order, brute.head = 3, set(c)
-    seen = {(w,): n for w, n in c.items()} | {("<s>",): len(train)}
-    brute.levels = [{}, *({g: (n - lm.DISCOUNT) / below[g[:-1]] for g, n in level.items()} for level, below in zip(grams, (seen, grams[0])))]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(train)], SCHEMA)
-    model = lm.train_model(df, lm.word_counts(df))
-    tests = [*train[:10], "rare pair here", "pair here unseen", "w1 rare W2", "", None]
-    rows = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()}
-    for i, text in enumerate(tests):
-        ws, r = brute_tokens(text), rows[i]
-        assert r.n_tokens == len(ws) and r.n_known == sum(w in c for w in ws)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (brute.N + 0.1 * (brute.V + 1))) for w in ws))
-        assert r.score == pytest.approx(brute.score(text), rel=1e-9)
-
-
-def test_whole_model_odd_rows(spark):
-    rows = [(1, None, "x", 1), (3, "w " * 30_000 + "y" * 90_000, "x", 1), (4, "a b", "x", 1), (4, "a b", "x", 1), (None, "a b", "x", 1)]
+    rows = [(1, None, "x", 1, True), (2, "", "x", 1, True), (3, "w " * 30_000 + "y" * 90_000, "x", 1, True), (4, "a b", "x", 1, True), (4, "a b", "x", 1, True), (None, "a b", "x", 1, True), (5, "zz", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = lm.score_texts(df, lm.train_model(df, lm.word_counts(df))).collect()
-    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (1, 1, 1), (3, 30_002, 30_002), (4, 3, 3), (4, 3, 3)]
-    empty = df.limit(0)
-    none = lm.train_model(empty, lm.word_counts(empty))
-    assert lm.score_texts(empty, none).count() == 0
-    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known == 0 for r in lm.score_texts(df, none).collect())
+    got = lm.score(df, F.col("train")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 3, 3), (1, 1, 1), (2, 1, 1), (3, 30_002, 30_002), (4, 3, 3), (4, 3, 3), (5, 2, 1)]
+    brute = Brute([r[1] for r in rows if r[4]])
+    for r in got:
+        brute.check({x[0]: x[1] for x in rows}[r.doc_id], r)
+    assert lm.score(df.limit(0), F.col("train")).count() == 0
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known == 0 for r in lm.score(df, F.lit(False)).collect())
+    clash = df.select("doc_id", "text", "train", F.lit(1).alias("batch"), F.lit(2).alias("part"), F.lit(3).alias("n_tokens"))
+    assert sorted(r.score for r in lm.score(clash, F.col("train")).collect()) == pytest.approx(sorted(r.score for r in got))
+
+
+def test_scratch_is_deleted(spark):
+    there = lambda: set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    before = there()
+    lm.score(spark.createDataFrame([(1, "a b", "x", 1, True)], SCHEMA), F.col("train")).collect()
+    assert [name.split("-")[0] for name in there() - before] == ["scores"]
+
+
+def test_packing_of_arrays():
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64))
+    assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+    assert (lm.unpacked(lm.packed(keys), np.uint64) == keys).all()
+    assert len(lm.unpacked(lm.packed(keys[:0]), np.float64)) == 0
