@@ -35,7 +35,7 @@ ADDED = 0.1
 #: The token that ends a text; no word is empty.
 END = b""
 #: Tokens in a batch, about, and in a partition of the automaton; partitions at least.
-BATCH, PART, LEAST_PARTS = 2_000_000, 2_000_000, 16
+BATCH, PART, LEAST_PARTS = 1_000_000, 1_000_000, 16
 #: The key of a text's start, and a factor that spreads keys.
 START, SPREAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,7 +52,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def packed(x: np.ndarray) -> bytes:
     """The array's bytes, all first bytes first, so that equal high bytes compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
