@@ -21,6 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ ADDED = 0.1
 #: The token that ends a text; no word is empty.
 END = b""
 #: Tokens in a batch, about, and in a partition of the automaton; partitions at least.
-BATCH, PART, LEAST_PARTS = 1_000_000, 1_000_000, 16
+BATCH, PART, LEAST_PARTS = 750_000, 1_000_000, 16
 #: The key of a text's start, and a factor that spreads keys.
 START, SPREAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,13 +52,14 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """The array's bytes, all first bytes first, so that equal high bytes compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """The array, compressed with all first bytes first, so that equal high bytes take no room; its size comes before."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return x.nbytes.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -133,7 +135,7 @@ class Batch:
         self.offset = np.arange(len(words) + len(sizes)) - np.repeat(self.first, sizes + 1)
         self.train = np.repeat(np.array(row["train"], bool), sizes + 1)
         #: Numbers of the words; the start has the number after the last.
-        self.word = np.full(len(self.offset), len(vocabulary), np.int64)
+        self.word = np.full(len(self.offset), len(vocabulary), np.int32)
         self.word[self.offset > 0] = words
         self.vocabulary = np.append(vocabulary, START)
 
@@ -153,7 +155,7 @@ class Batch:
         keys = keys[order]
         new = _changes(keys)
         starts = np.flatnonzero(new)
-        which = np.full(len(self.offset), -1)
+        which = np.full(len(self.offset), -1, np.int32)
         which[there[order]] = np.cumsum(new) - 1
         n = np.add.reduceat(self.train[there[order]].astype(np.int64), starts)
         return Grams(keys[starts], n, there[order[starts]], which)
@@ -201,7 +203,7 @@ def _sum_up(level: int) -> Callable[[pa.Table], pa.Table]:
 
 def _answers(replies: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch's n-grams of a level, in the order of their keys: counts, whether it goes on with their histories, what is taken from them."""
-    rows = sorted((r for r in replies.select(["level", "part", "n", "taken"]).to_pylist() if r["level"] == level), key=lambda r: r["part"])
+    rows = replies.filter(pc.equal(replies.column("level"), level)).select(["part", "n", "taken"]).sort_by("part").to_pylist()
     n = np.concatenate([unpacked(r["n"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
     taken = np.concatenate([unpacked(r["taken"], np.float64) for r in rows]) if rows else np.zeros(0)
     return (n >> np.uint64(1)).astype(np.float64), (n & np.uint64(1)).astype(bool), taken
@@ -223,6 +225,17 @@ def _ask(level: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _each(ask: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`ask` for batches that need no replies yet."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for i in range(some.num_rows):
+                yield from ask(pa.Table.from_batches([some.slice(i, 1)]), None).to_batches()
+
+    return run
+
+
 def _traverse(n_tokens: int, n_types: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Scores a batch's texts with its part of the automaton."""
 
@@ -265,11 +278,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     by_batch = batches.groupBy("batch")
     replies: list[DataFrame] = []
     for level in range(ORDER, 0, -1):
-        if replies:
-            sent = by_batch.cogroup(replies[-1].groupBy("batch")).applyInArrow(_ask(level, parts), SENT)
-        else:
-            ask = _ask(level, parts)
-            sent = by_batch.applyInArrow(lambda rows: ask(rows, None), SENT)
+        ask = _ask(level, parts)
+        sent = by_batch.cogroup(replies[-1].groupBy("batch")).applyInArrow(ask, SENT) if replies else batches.mapInArrow(_each(ask), SENT)
         replies.append(cut(sent.groupBy("part").applyInArrow(_sum_up(level), REPLY), "replies"))
     total = replies[-1].agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     answers = replies[0]
