@@ -10,6 +10,18 @@ from millrace.llm import mixing
 SCHEMA = "doc_id long, text string, source string, size string, target int"
 
 
+def brute_targets(sizes, total, weights=(5, 2, 1)):
+    """Round by round: what a source has too much is shared anew among the others."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, out = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {}
+    while len(out) < len(order):
+        left, open_ = total - sum(out.values()), [s for s in order if s not in out]
+        share = left / sum(weight[s] for s in open_)
+        full = {s: 2.0 * sizes[s] for s in open_ if weight[s] * share >= 2 * sizes[s]}
+        out |= full or {s: weight[s] * share for s in open_}
+    return out
+
+
 def brute(docs, seed="mix"):
     """The mix by sorting each source as a whole. docs: (doc_id, text, source)."""
     by_source = defaultdict(list)
@@ -20,7 +32,7 @@ def brute(docs, seed="mix"):
         letters = len([c for c in text or "" if c not in "0123456789!#$%&()*+/<=>@[\\]^_{|}~"])
         by_source[source].append((-math.log(u) / max(0.05, letters / len(text) if text else 0.05), doc_id, size))
     sizes = {s: sum(x[2] for x in rows) for s, rows in by_source.items()}
-    target = mixing.targets(sizes, 1.5 * sum(sizes.values()))
+    target = brute_targets(sizes, 1.5 * sum(sizes.values()))
     out = {}
     for s, rows in by_source.items():
         epochs = min(2, int(target[s] // sizes[s])) if sizes[s] else 0
@@ -45,11 +57,27 @@ def test_against_brute_force(spark, sf_dir, monkeypatch, range_rows):
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r["size"] for r in mine) / 2 + 1
 
 
-def test_targets_are_capped_and_reshared():
-    got = mixing.targets({"a": 10, "b": 1000, None: 100, "c": 100}, 1.5 * 1210)
-    assert got["a"] == 20 and sum(got.values()) == pytest.approx(1.5 * 1210)
-    assert got[None] == 200 and got["c"] <= 200
-    assert mixing.targets({"a": 0}, 0) == {"a": 0}
+@pytest.mark.parametrize("range_rows", [20_000, 2])
+def test_targets_are_capped_and_reshared(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    for sizes in ({"a": 10, "b": 1000, None: 100, "c": 100}, {"a": 0}, {"a": 0, "b": 5}, {chr(97 + i): (i * 37) % 50 for i in range(20)} | {None: 7}):
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(df, 1.5).collect()}
+        assert got == pytest.approx(brute_targets(sizes, 1.5 * sum(sizes.values())))
+    assert mixing.targets(df.limit(0), 1.5).count() == 0
+
+
+def test_ranges_stay_even_for_uneven_weights_and_equal_rows(spark, monkeypatch):
+    """A half of the rows weighs 0.05 and a half 1; and a third of the rows is one document."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 200)
+    tables = []
+    monkeypatch.setattr(mixing, "cut", lambda df, name, cut=mixing.cut: tables.append((name, cut(df, name))) or tables[-1][1])
+    rows = [(i, ("#" * 40 if i % 2 else "prose of words") + f" {'w' * (i % 7)}", "a", "", 0) for i in range(4000)] + [(9, "prose of words", "a", "", 0)] * 2000
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), budget=0.5).collect()
+    ranged = dict(tables)["ranged"]
+    sizes = [r["count"] for r in ranged.groupBy("range").count().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 3 * 200
+    assert len(got) == 6000 and abs(sum(r.taken for r in got) - got[0].target) <= 2
 
 
 def test_odd_rows(spark):
