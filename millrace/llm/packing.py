@@ -10,9 +10,9 @@ its size depends on the sequence length alone.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,33 +32,55 @@ RANK_ROWS = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-_ENCODINGS: dict[str, object] = {}
+#: Encodings that this Python process has read.
+_ENCODINGS: dict[tuple[str, str], object] = {}
 
 
-def encoding(ranks: str, pattern: str):
-    """The byte-level encoding of a file of ranks; each Python worker reads the file once."""
-    if ranks not in _ENCODINGS:
+def encoding(path: str, pattern: str):
+    """The byte-level encoding that a tokenizer's JSON file describes: its merges and the tokens added to them.
+
+    Text is parted by `pattern`, the added tokens by their own strings. Each Python process reads the file once.
+    """
+    if (path, pattern) not in _ENCODINGS:
         import tiktoken
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODINGS[ranks] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _ENCODINGS[ranks]
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; the others follow from 256 on
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        vocabulary = made["model"]["vocab"]
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in made["model"]["merges"]]
+        if merged != sorted(merged) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"]):
+            raise ValueError(f"{path}: ids have to follow the merges, and added tokens to stand for their own strings only")
+        added = {t["content"]: t["id"] for t in made["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+        _ENCODINGS[path, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return _ENCODINGS[path, pattern]
+
+
+def encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text, as the tokenizer of the JSON file gives them by itself: added tokens are found in the text, none are put around it."""
+    made = encoding(path, pattern)
+    added = made.special_tokens_set
+
+    def encode(text: str) -> np.ndarray:
+        return made.encode_to_numpy(text, allowed_special=added if any(t in text for t in added) else set(), disallowed_special=())
+
+    return encode
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """The pieces of every document: full ones and a remainder, with the checksum of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks, pattern).encode_ordinary
+        encode = encoder(*tokenizer)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4").tobytes()
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    piece = ids[start * 4 : (start + capacity) * 4]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
+                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
+                for start in range(0, len(ids), capacity):
+                    piece = ids[start : start + capacity]
+                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -154,15 +176,16 @@ def slots(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> pd.DataFrame
     return pd.DataFrame(rows, columns=["cls", "first", "each", "base"]).sort_values(["cls", "first"])
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple[str, str], capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null texts are empty: their only id is the end. Rows that repeat an id or a text are packed like any other.
+    `tokenizer` is the path of a byte-level tokenizer's JSON file, which every executor can open, and the pattern that parts its text.
+    Null texts are empty: their only id is the end. Rows that repeat an id or a text are packed like any other. Other columns don't matter.
     A sequence is filled from 0 without gaps; what it lacks to `capacity` (or to a power of two that it
     reaches) is padding. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    cut_up = cut(pieces(docs, ranks, pattern, capacity, end_id).withColumn("cls", F.ceil(F.col("length") / GRAIN).cast("int")), "pieces")
+    cut_up = cut(pieces(docs, tokenizer, capacity, end_id).withColumn("cls", F.ceil(F.col("length") / GRAIN).cast("int")), "pieces")
     # Ranks within a class: dealt to bins by hash, ranked within a bin, moved by the sizes of the bins before.
     bins = cut_up.groupBy("cls").agg(F.count("*").alias("n"))
     histogram = {r.cls: r.n for r in bins.collect()}  # at most capacity / GRAIN rows
@@ -170,7 +193,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
     binned = cut_up.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(n_bins, F.col("cls"))))
     by_bin = binned.groupBy("cls", "bin").agg(F.count("*").alias("n"))
     before = by_bin.select("cls", "bin", (F.sum("n").over(Window.partitionBy("cls").orderBy("bin")) - F.col("n")).alias("before"))
-    in_bin = F.row_number().over(Window.partitionBy("cls", "bin").orderBy("doc_id", "start")) - 1
+    in_bin = F.row_number().over(Window.partitionBy("cls", "bin").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")) - 1  # rows equal in all these are alike
     ranked = binned.withColumn("in_bin", in_bin).join(before, ["cls", "bin"]).withColumn("rank", F.col("before") + F.col("in_bin"))
 
     sizes = np.array(sorted(histogram), np.int64)
@@ -189,5 +212,5 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
 
     seated = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "cls").mapInPandas(
         seat, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
-    so_far = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, 0))
     return seated.withColumn("offset", so_far - F.col("length"))

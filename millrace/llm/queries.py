@@ -11,11 +11,11 @@ from millrace.llm import embedding, langid, licenses, lm, mixing, mtree, packing
 from millrace.llm.common import crc_mod, cut, table
 
 
-def ranks() -> tuple[str, str]:
-    """The public byte-level vocabulary's ranks and its pattern; their ids are those of byte_bpe_50k.json."""
+def tokenizer() -> tuple[str, str]:
+    """The public byte-level tokenizer's file and its pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), *ranks(), capacity=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end_id=1)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

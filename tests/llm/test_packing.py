@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -7,13 +8,12 @@ from tokenizers import Tokenizer
 
 from millrace.llm import packing
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-ODD = ["a  b", " a b ", "x \n y\n z", "  q", "", "  ", "a\tb c", "hello world 　 ok", "w1 's it's", "<|endoftext|> x", "é" * 4000, "many words " * 5000, None]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+ODD = ["a  b", " a b ", "x \n y\n z", "  q", "", "  ", "a\tb c", "hello world 　 ok", "w1 's it's", "<|endoftext|> x", "hello <|endoftext|>x", "<|endoftext|><|endoftext|>", "<|endoftext", "  <|endoftext|>  it's", "é" * 4000, "many words " * 5000, None]
 
 
 def expected_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [[*e.ids, 1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -45,10 +45,20 @@ def assert_gapless(found, total):
 def test_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()} | {10_000 + i: t for i, t in enumerate(ODD)}
-    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), *RANKS).collect()
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), TOKENIZER).collect()
     assert check(rows, dict(zip(texts, expected_ids(texts.values())))) > 0.95
 
 
+def test_ids_of_all_kinds_of_text():
+    """The contract's tokenizer, as it is by default, and ours agree on mixed scripts, spaces, marks and added tokens."""
+    rng = random.Random(3)
+    bits = ["the", " of", "  ", "\n", "\t", "é", "漢字", "한국어", "😀", "1234", "'s", "'ll", "<|endoftext|>", "<|", "|>", "\u3000", "\u00a0", "a" * 300, "...", "-", "\x00", "\r\n", "ß", "İ"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(400)] + [t or "" for t in ODD]
+    encode = packing.encoder(*TOKENIZER)
+    assert [[*encode(t).tolist(), 1] for t in texts] == expected_ids(texts)
+    assert encode("x<|endoftext|>").tolist()[-1] == 50256
+
+
 def test_patterns_cover_demand():
     rng = np.random.default_rng(1)
     sizes = np.arange(1, 65)
@@ -65,8 +75,10 @@ def test_patterns_cover_demand():
 
 def test_odd_tables(spark):
     schema = "doc_id long, text string, length int, sequence_id string"
-    assert packing.pack(spark.createDataFrame([], schema), *RANKS).count() == 0
-    rows = packing.pack(spark.createDataFrame([(1, "a b", 1, "x"), (1, "a b", 1, "x"), (None, None, 2, None)], schema), *RANKS).collect()
+    assert packing.pack(spark.createDataFrame([], schema), TOKENIZER).count() == 0
+    rows = packing.pack(spark.createDataFrame([(1, "a b", 1, "x"), (1, "a b", 1, "x"), (None, None, 2, None)], schema), TOKENIZER).collect()
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 3), (1, 3)]
     assert {r.sequence_id for r in rows} == {0}
     assert sorted(r.offset for r in rows)[0] == 0
+    clash = spark.createDataFrame([(1, "a b", 7, "x"), (1, "c d", 8, "y")], "doc_id long, text string, cls int, rank string")
+    assert sorted(r.offset for r in packing.pack(clash, TOKENIZER).collect()) == [0, 3]
