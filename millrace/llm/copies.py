@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates from MinHash bands.
+"""Near-duplicates by SimHash, held to an exact similarity of word shingles.
 
-Texts with the same set of shingles are compared once. Texts that share a band's key are candidates: BANDS bands of ROWS values
-miss a pair of similarity 0.8 with a chance of 7e-5, and every candidate link is checked on the whole sets. A bucket is
-not compared in all pairs: each member is checked against one head, and then only members that are still in different components
-are, so that a large group of copies costs about its size a band.
+This is the near-duplicate operator where copies are defined by similarity, not by differing bits: pairs that pigeonring
+filtering finds on the texts' fingerprints are candidates, and each candidate link is checked on the whole shingle sets. Fingerprints within four
+bits don't reach down to a similarity of 0.8, so texts that share the key of a MinHash band are candidates as well: BANDS bands of ROWS
+values miss a pair of similarity 0.8 with a chance of 7e-5.
+
+Texts with the same set of shingles are compared once. A bucket is not compared in all pairs: each member is checked against one head,
+and then only members that are still in different components are, so that a large group of copies costs about its size.
 """
 
 from __future__ import annotations
@@ -16,26 +19,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lower_words, map_texts
+from millrace.llm import simhash
+from millrace.llm.common import cut, drop, map_texts
 from millrace.llm.graph import components
 
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
 #: Copies have this similarity or more, as a fraction.
 LEAST = (4, 5)
+#: Pairs, about, that one task checks against one text.
+CHECKS = 256
 _FACTORS, _ADDED = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of SHINGLE words, or of all its words if it has fewer; none without words."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
-    first = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    last = ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(first, last)], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -53,47 +52,72 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def _signed(docs: DataFrame, id_col: str, row_col: str | None) -> DataFrame:
-    """(doc_id, text, row, set_id, bands) of every row."""
+def _signed(docs: DataFrame, key: str) -> DataFrame:
+    """(key, text, set_id, fp, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             ids = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text", "row", "set_id", "bands"])
+            prints = [simhash.simhash(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "text", "set_id", "fp", "bands"])
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row")), run, "doc_id long, text string, row long, set_id long, bands array<long>")
+    kind = docs.schema[key].dataType.simpleString()
+    return map_texts(docs.select(F.col(key).alias("key"), "text"), run, f"key {kind}, text string, set_id long, fp long, bands array<long>")
 
 
-def _checked(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The (a, b) of `pairs` whose sets are similar."""
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs` whose sets are similar. A text that is in very many pairs as a is dealt out, CHECKS pairs to a copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
         for b in batches:
-            ok = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3))]
+            ok = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if a != last:
+                    last, own = a, shingles(x.as_py())
+                ok.append(similar(own, shingles(y.as_py())))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    texts = cut(signed.select("set_id", "text").join(wanted.hint("merge"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text")), "compared")
-    side = lambda name: texts.select(F.col("set_id").alias(name), F.col("text").alias(f"text_{name}")).hint("merge")
-    return map_texts(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
+    loads = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKS).cast("int").alias("parts")), "loads")
+    first = loads.join(texts.hint("merge"), F.col("a") == F.col("set_id")).select("a", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), F.col("text").alias("text_a"))
+    second = pairs.join(texts.hint("merge"), F.col("b") == F.col("set_id")).select("a", "b", F.col("text").alias("text_b"))
+    dealt = second.join(loads.hint("merge"), "a").select("a", "b", "text_b", (F.pmod(F.xxhash64("b"), F.col("parts")) + 1).cast("int").alias("part"))
+    links = cut(map_texts(dealt.join(first.hint("merge"), ["a", "part"]).select("a", "b", "text_a", "text_b"), run, "a long, b long"), "links")
+    drop(loads)
+    return links
 
 
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
-    """(doc_id, row, set_id, root) of every row: rows linked by copies have one root; row is that of `row_col`, or 0.
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """(a, b) candidates: sets with equal fingerprints, and the heads of those that pigeonring filtering links."""
+    heads = cut(sets.groupBy("fp").agg(F.min("set_id").alias("head"), F.count("*").alias("n")), "heads")
+    equal = sets.join(heads.where("n > 1").hint("merge"), "fp").where("set_id <> head").select(*_pairs("set_id", "head"))
+    links = cut(simhash.near_links(heads.select("fp")), "fingerprint-links")
+    near = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")).hint("merge"), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")).hint("merge"), "b")
+    out = cut(equal.unionByName(near.where("x <> y").select(*_pairs("x", "y"))), "fingerprint-pairs")
+    drop(heads, links)
+    return out
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, set_id, root) of every row: rows linked by copies have one root; key is the column of that name, of any type.
 
-    Texts without words are one group. An empty table gives an empty one.
+    Texts without words, null or empty, are one group. Repeated rows and rows of equal texts share a root. Texts of fewer than SHINGLE words
+    are one shingle, so only equal ones are copies. Which set is a head changes no result. An empty table gives an empty one.
     """
-    signed = cut(_signed(docs, id_col, row_col), "signed")
-    filed = signed.select("set_id", F.explode("bands").alias("key")).distinct()
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", "key")).alias("head")).where("n > 1")
-    filed = cut(filed.join(cut(sizes, "buckets").hint("merge"), "key"), "filed")
-    first = cut(filed.where("set_id <> head").select(*_pairs("set_id", "head")).distinct(), "first-pairs")
-    links = cut(_checked(first, signed), "first-links")
+    signed = cut(_signed(docs, key), "signed")
+    sets = cut(signed.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min(F.struct("text")).alias("t"), F.first("bands").alias("bands")).select("set_id", "fp", "t.text", "bands"), "sets")
+    texts = sets.select("set_id", "text")
+    filed = sets.select("set_id", F.explode("bands").alias("key"))
+    sizes = cut(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("head")).where("n > 1"), "buckets")
+    filed = cut(filed.join(sizes.hint("merge"), "key"), "filed")
+    by_print = _by_fingerprint(sets.select("set_id", "fp"))
+    first = cut(filed.where("set_id <> head").select(*_pairs("set_id", "head")).unionByName(by_print).distinct(), "first-pairs")
+    links = _checked(first, texts)
 
     # What shares a bucket and is not linked yet: all members against those outside the bucket's largest component.
     roots = cut(components(links), "first-roots")
@@ -105,6 +129,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = N
     apart = within.where("root <> main").select("key", F.col("set_id").alias("x"), F.col("root").alias("x_root"))
     second = apart.join(within.select("key", "set_id", "root").hint("merge"), "key").where("root <> x_root").select(*_pairs("x", "set_id")).distinct()
     second = cut(second.join(first.hint("merge"), ["a", "b"], "left_anti"), "second-pairs")
-    links = links.unionByName(_checked(second, signed))
-    roots = cut(components(links), "roots").withColumnRenamed("node", "set_id").hint("merge")
-    return signed.select("doc_id", "row", "set_id").join(roots, "set_id", "left").select("doc_id", "row", "set_id", F.coalesce("root", "set_id").alias("root"))
+    more = _checked(second, texts)
+    roots = cut(components(links.unionByName(more)), "roots").withColumnRenamed("node", "set_id").hint("merge")
+    out = cut(signed.select("key", "set_id").join(roots, "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")), "copies")
+    drop(signed, sets, sizes, filed, by_print, first, placed, mixed, within, second, links, more)
+    return out

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
-
-#: Far above what any chain of links needs: the steps halve a chain's length.
-MAX_ROUNDS = 60
+from millrace.llm.common import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,25 +17,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links are pairs of longs, in any order, repeats and self-links allowed; a link with a null is none.
     Each step reads written tables only, so that adaptive execution can split the rows of a node with
-    very many links, and an executor's loss costs one step at most. Nothing is collected.
+    very many links, and an executor's loss costs one step at most. What a step has read is deleted. Nothing is collected.
+    Every round lowers some link until all point at the smallest node, so the rounds end by themselves.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = cut(edges, "links")
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.where("u <> v").distinct(), "large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least.hint("merge"), "u")
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower.hint("merge"), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        before, state = state, _state(edges)
+        after = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        before, state = state, _state(after)
+        drop(edges, least, large, lower)
+        edges = after
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -31,17 +31,26 @@ MAX_BITS = 4
 BLOCK = 512
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The SimHash of a text's word shingles as a signed 64-bit integer; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, or of all its words if it has fewer; none without words."""
     words = lower_words(text)
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
     first = np.concatenate(([0], ends[:-1] + 1)).tolist()
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(first, last)], "<u8")
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(first, last)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The SimHash of a text's word shingles as a signed 64-bit integer; 0 without words."""
+    return simhash(shingle_hashes(text, shingle))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 16384):  # bounds the bit matrix of a very long text
         set_in += np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -49,7 +49,7 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], SCHEMA)
     groups = defaultdict(set)
     for r in copies.near_copies(docs).collect():
-        groups[r.root].add(r.doc_id)
+        groups[r.root].add(r.key)
     assert {min(g): len(g) for g in groups.values()} == {i: list(want.values()).count(i) for i in set(want.values())}
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
 

@@ -5,10 +5,10 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from millrace.llm import langid, quality
+from millrace.llm import langid, mixing, quality
+from tests.llm.test_copies import brute_groups
 from tests.llm.test_mixing import brute as brute_mix
 from tests.llm.test_packing import check, expected_ids
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,8 +44,9 @@ def test_classifiers_take_effect(stages, sf_dir, spark):
 
 
 def test_one_of_each_group_stays(stages):
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in stages[2].collect()}
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(brute_components(prints).values()))
+    """Groups of documents linked by a similarity of 0.8 or more of their five-word shingles, from all pairs."""
+    groups = brute_groups({r.doc_id: r.text for r in stages[2].collect()})
+    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(groups.values()))
 
 
 def test_mix_and_packing(stages):
@@ -73,3 +74,14 @@ def test_odd_rows(spark, sf_dir):
     assert {r.doc_id for r in mixed} <= {None, 2} and mixed
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        assert stage(spark, docs, sf_dir).count() >= 0
+
+
+def test_mixing_tells_rows_of_one_id_apart(spark, sf_dir):
+    """Rows that repeat an id with other texts are taken each as often as the mix takes that row; clashing columns stay."""
+    rows = [(1, f"{'w ' * (i + 1)}end{i}", "en", "ab"[i % 2], 0, "k", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", key string, times int")
+    got = Counter(corpus_pipeline.mixed(spark, docs, sf_dir).collect())
+    taken = {r.text: r.n for r in mixing.mix(corpus_pipeline.keyed(docs), carry=("key",)).selectExpr("key.h1 as h1", "taken div size as n").join(corpus_pipeline.keyed(docs).selectExpr("key.h1 as h1", "text"), "h1").collect()}
+    assert {r.text: n for r, n in got.items()} == {t: n for t, n in taken.items() if n}
+    assert set(taken.values()) == {1, 2} and {r.key for r in got} == {"k"}
