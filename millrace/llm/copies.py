@@ -6,7 +6,8 @@ bits don't reach down to a similarity of 0.8, so texts that share the key of a M
 values miss a pair of similarity 0.8 with a chance of 7e-5.
 
 Texts with the same set of shingles are compared once. A bucket is not compared in all pairs: each member is checked against one head,
-and then only members that are still in different components are, so that a large group of copies costs about its size.
+and then only members that are still in different components are: in small buckets as pairs, in large ones block by block, where a task
+gives links that span what it connects and no pairs. So a large group of copies costs about its size in rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
 LEAST = (4, 5)
 #: Pairs, about, that one task checks against one text.
 CHECKS = 256
+#: Buckets of more members than this are compared in blocks of SIDE members.
+SMALL, SIDE = 32, 128
 _FACTORS, _ADDED = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -88,6 +92,39 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between members outside the bucket's largest component and all members, for one pair of blocks; none within a component.
+
+    A pair that shares several bands is compared in the first of them only.
+    """
+    outside = pdf[pdf.outside].reset_index(drop=True)
+    members = pdf[~pdf.outside].reset_index(drop=True)
+    links: list[tuple[int, int]] = []
+    if len(outside) and len(members):
+        sets = {i: shingles(t) for i, t in {**dict(zip(outside.set_id, outside.text)), **dict(zip(members.set_id, members.text))}.items()}
+        above: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
+        x_bands, y_bands = np.stack(outside.bands.to_numpy()), np.stack(members.bands.to_numpy())
+        y_ids, y_roots, y_main = members.set_id.to_numpy(), members.root.to_numpy(), (members.root == members.main).to_numpy()
+        y_sizes = np.array([len(sets[i]) for i in y_ids])
+        for x, root, own in zip(outside.set_id, outside.root, x_bands):
+            equal = own[None, :] == y_bands
+            here = y_bands[np.arange(len(y_bands)), equal.argmax(1)] == pdf.key.iloc[0]
+            n = len(sets[x])
+            may = here & (y_roots != root) & (y_main | (y_ids > x)) & (LEAST[1] * np.minimum(n, y_sizes) >= LEAST[0] * np.maximum(n, y_sizes))
+            for k in np.flatnonzero(may):
+                a, b = top(root), top(y_roots[k])
+                if a != b and similar(sets[x], sets[y_ids[k]]):
+                    above[a] = b
+                    links.append((x, y_ids[k]))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -124,13 +161,21 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     placed = filed.where("n > 2").join(roots.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     placed = cut(placed, "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = cut(parts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main"), "mixed")
+    mixed = cut(parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1"), "mixed")
     within = cut(placed.join(mixed.hint("merge"), "key"), "within")
-    apart = within.where("root <> main").select("key", F.col("set_id").alias("x"), F.col("root").alias("x_root"))
-    second = apart.join(within.select("key", "set_id", "root").hint("merge"), "key").where("root <> x_root").select(*_pairs("x", "set_id")).distinct()
+    small = within.where(F.col("n") <= SMALL)
+    apart = small.where("root <> main").select("key", F.col("set_id").alias("x"), F.col("root").alias("x_root"))
+    second = apart.join(small.select("key", "set_id", "root").hint("merge"), "key").where("root <> x_root").select(*_pairs("x", "set_id")).distinct()
     second = cut(second.join(first.hint("merge"), ["a", "b"], "left_anti"), "second-pairs")
     more = _checked(second, texts)
-    roots = cut(components(links.unionByName(more)), "roots").withColumnRenamed("node", "set_id").hint("merge")
+
+    large = within.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sides = large.where("root <> main").select("key", F.col("block").alias("i"), every.alias("j"), "set_id", "root", "main", F.lit(True).alias("outside")).unionByName(
+        large.select("key", every.alias("i"), F.col("block").alias("j"), "set_id", "root", "main", F.lit(False).alias("outside")))
+    sides = sides.join(sets.drop("fp").hint("merge"), "set_id")
+    blocks = cut(sides.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long"), "block-links")
+    roots = cut(components(links.unionByName(more).unionByName(blocks)), "roots").withColumnRenamed("node", "set_id").hint("merge")
     out = cut(signed.select("key", "set_id").join(roots, "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")), "copies")
-    drop(signed, sets, sizes, filed, by_print, first, placed, mixed, within, second, links, more)
+    drop(signed, sets, sizes, filed, by_print, first, placed, mixed, within, second, links, more, blocks)
     return out

@@ -54,6 +54,21 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """One group of copies around 0.8, larger than a block, and a bucket's pairs compared without being made."""
+    monkeypatch.setattr(copies, "SMALL", 4)
+    monkeypatch.setattr(copies, "SIDE", 8)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    texts = {i: edited(rng, words, rng.choice((2, 3, 4, 9))) for i in range(60)}
+    want = brute_groups(texts)
+    assert 3 < len(set(want.values())) < 50
+    groups = defaultdict(set)
+    for r in copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        groups[r.root].add(r.key)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in want if want[i] == g) for g in set(want.values()))
+
+
 def test_repeated_ids_lose_no_group(spark, sf_dir):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1)]
