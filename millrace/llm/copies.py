@@ -31,7 +31,7 @@ LEAST = (4, 5)
 #: Pairs, about, that one task checks against one text.
 CHECKS = 256
 #: Buckets of more members than this are compared in blocks of SIDE members.
-SMALL, SIDE = 32, 128
+SMALL, SIDE = 32, 256
 _FACTORS, _ADDED = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 

@@ -103,26 +103,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     Rows of equal, non-null labels are linked if their cosine is at least `threshold`. Equal vectors are compared once,
     whatever their number, and count as that many links. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, nor do vectors of different lengths; a row without links is its own component.
-    Rows that share an id are one node of the link graph. Null ids link with nothing. An empty table gives an empty one.
+    Rows that share an id are one node of the link graph: they have one component, also those whose vectors take no part, while n_links counts what the row's
+    own vector is linked with. Null ids link with nothing. Other columns don't matter. An empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("same", F.when(fit, F.xxhash64("label", "embedding")))
-    groups = rows.where(F.col("same").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("same").alias("same"))
-    groups = cut(groups.withColumn("dim", F.size("embedding")), "vectors")
+    # Adding zero makes -0 equal to 0, for the hash as well.
+    rows = rows.withColumn("embedding", F.when(fit, F.transform("embedding", lambda x: x + F.lit(0.0)))).withColumn("hash", F.xxhash64("label", "embedding"))
+    groups = rows.where(F.col("embedding").isNotNull()).groupBy("hash", "label", "embedding").agg(F.count("*").alias("copies"))
+    groups = cut(groups.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    # The hash only deals rows out; label and vector decide.
+    named = groups.select("hash", "label", "embedding", "node")
+    ids = cut(rows.where(F.col("embedding").isNotNull()).join(named.hint("merge"), ["hash", "label", "embedding"]).select("vec_id", "node"), "ids")
+    idle = rows.where(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"))
+
     tiles = cut(groups.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")
-    tiled = groups.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.col("same"), F.col("tiles")).cast("int"))
+    tiled = groups.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.col("hash"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     pairs = tiled.select("label", "dim", "tile", "node", "copies", "embedding", other)
     pairs = pairs.select("label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "copies", "embedding",
                          F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"))
     found = cut(pairs.groupBy("label", "dim", "i", "j").applyInPandas(_tile_pair(threshold), "a long, b long, links long"), "tile-links")
 
-    roots = components(found.where("a <> b").select("a", "b"))
-    # Identical vectors are links too: from each row's id to the smallest of its vector.
+    # Vectors that share an id are linked through it.
+    of_id = ids.distinct()
+    shared = of_id.groupBy("vec_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("vec_id", "a")
+    links = found.where("a <> b").select("a", "b").unionByName(of_id.join(shared.hint("merge"), "vec_id").select("a", F.col("node").alias("b")))
+    roots = cut(components(links), "roots")
+    rooted = cut(of_id.join(roots.hint("merge"), "node", "left").select("vec_id", F.coalesce("root", "node").alias("root")).distinct(), "rooted")
+    names = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    by_id = rooted.join(cut(names, "names").hint("merge"), "root").select("vec_id", "component_id").distinct()
     tallies = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    per_vector = cut(groups.select("same", "node", "copies").join(tallies, "node", "left").join(roots, "node", "left").select(
-        "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root")), "per-vector")
-    out = cut(rows.select("vec_id", "same"), "ids").join(per_vector.hint("merge"), "same", "left")
-    root = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    counts = groups.select("node", "copies").join(tallies, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    counted = ids.join(cut(counts, "counts").hint("merge"), "node").select("vec_id", F.col("n_links").cast("long").alias("n_links"))
+    out = counted.unionByName(idle).join(cut(by_id, "by-id").hint("merge"), "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", "n_links", component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -38,6 +38,15 @@ def test_against_brute_force(spark, monkeypatch, tile):
     assert max(n for n, _, _ in want.values()) > 3
 
 
+def test_repeated_ids_are_one_node(spark):
+    """Components by id, from all pairs of rows and rows of one id; n_links by row."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a, 0), (7, a, 0), (7, b, 0), (8, b, 0), (9, c, 0), (7, None, 0), (9, c, 0), (10, [-0.0, 0.0, 2.0], 0), (11, None, 1), (11, a, 1), (None, a, 0), (12, a, None)]
+    got = embedding.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    want = [(5, 1, 5, True), (7, 1, 5, False), (7, 1, 5, False), (8, 1, 5, False), (9, 2, 9, True), (7, 0, 5, False), (9, 2, 9, True), (10, 2, 9, False), (11, 0, 11, True), (11, 0, 11, True), (None, 0, None, None), (12, 0, 12, True)]
+    assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in got))) == sorted(map(str, want))
+
+
 def test_bounds_are_rigorous():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 64)) * np.where(rng.random((300, 64)) < 0.1, 30, 1)
