@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 BOUNDARY = re.compile(r"제\s*\d+\s*조")
+#: What stands between articles in one chunk.
+BETWEEN = "\n\n"
 HEADING = re.compile(r"(?m)^(#{1,4})\s+(.*)$")
 
 
@@ -53,17 +56,17 @@ def split_articles(text: str, size: int, overlap: int) -> list[str]:
     starts = [m.start() for m in BOUNDARY.finditer(text)]
     if len(starts) < 2:
         return split_recursively(text, size, overlap)
-    out, held = [], ""
-    for start, end in zip(starts, [*starts[1:], len(text)]):
-        article = text[start:end].strip()
-        if len(article) > size or len(held) + len(article) > size:
-            out += [held] if held else []
-            held = "" if len(article) > size else article
-            if len(article) > size:
-                out += split_recursively(article, size, overlap)
-        else:
-            held = f"{held}\n\n{article}".strip()
-    return out + ([held] if held else [])
+    articles = [text[a:b].strip() for a, b in pairwise([*starts, len(text)])]
+
+    def shelf(last: tuple[int, int], article: str) -> tuple[int, int]:
+        """The number of an article's chunk, and how full it is with it; an article too long for any chunk has one to itself."""
+        number, filled = last
+        fits = 0 < filled and filled + len(article) <= size
+        return (number, filled + len(BETWEEN) + len(article)) if fits else (number + 1, len(article))
+
+    numbers = (number for number, _ in [*accumulate(articles, shelf, initial=(0, 0))][1:])
+    chunks = ([a for _, a in own] for _, own in groupby(zip(numbers, articles), key=lambda x: x[0]))
+    return [piece for own in chunks for piece in (split_recursively(own[0], size, overlap) if len(own[0]) > size else [BETWEEN.join(own)])]
 
 
 def split_headings(text: str, size: int = 800, overlap: int = 150, least: int = 30) -> list[dict]:
