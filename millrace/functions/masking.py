@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What names of columns say of their content, in the order in which they are tried (fixed values).
+# What names of columns say of their content.
+#: Numbers of people, by the whole name of a column.
+ID_COLUMNS = ("pt_no", "pat_no", "patient_no", "patient_id", "ptno", "ptid", "emp_no", "staff_no", "chart_no", "ptmiptno", "omt02ptno")
+#: By part of the name, the kinds in the order in which they are tried. Identity numbers come before `ID_COLUMNS`, the other kinds after them.
 KEYWORDS = {
-    "rrn": ("rrn", "jumin", "ssn", "resident"),
-    "id": ("patient_id", "pt_no", "hp_no", "chart_no"),
-    "name": ("name", "nm", "성명", "이름"),
-    "phone": ("phone", "tel", "mobile", "hp"),
-    "addr": ("addr", "주소"),
-    "email": ("email", "mail"),
+    "rrn": ("rrn", "jumin", "주민", "idno", "id_no", "ssn", "ptmipsid", "ptmippsid", "reg_no", "regno", "birth_no", "resident"),
+    "name": ("name", "nm", "성명", "이름", "환자명", "성함"),
+    "phone": ("tel", "phone", "hp", "mobile", "전화", "핸드폰", "휴대폰", "contact"),
+    "addr": ("addr", "주소", "거주지"),
+    "email": ("mail", "이메일"),
 }
 
 
@@ -70,9 +72,10 @@ def mask(x: Column, kind: str) -> Column:
 
 
 def kind_of(column: str) -> str | None:
-    """What a column holds, from its name; substrings count, as naming habits are loose."""
+    """What a column holds, from its name in any case; parts of names count, as naming habits are loose."""
     low = column.lower()
-    return next((kind for kind, words in KEYWORDS.items() if any(w in low for w in words)), None)
+    kinds = [kind for kind, words in KEYWORDS.items() if any(w in low for w in words)]
+    return "id" if low in ID_COLUMNS and "rrn" not in kinds else next(iter(kinds), None)
 
 
 def mask_frame(df: DataFrame, kinds: dict[str, str] | None = None, detect: bool = True) -> DataFrame:

@@ -180,6 +180,21 @@ def pii09_mask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask_frame(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
 
 
+@query(
+    "pii15_korean_columns",
+    """SELECT c_custkey AS "번호", '홍*' || translate(right(c_name, 1), '0123456789', '가나다라마바사아자차') AS "환자명", '010-****-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS "휴대폰", '9' || '***@a.kr' AS "이메일",
+    '900101-*******' AS birth_no, 'PT****' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS pat_no, '서울시 강남구 ***' AS "주소" FROM customer""",
+)
+def pii15_korean_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also PII-01..PII-08: every kind by the names that hospital tables use."""
+    number = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        number.alias("번호"), F.concat(F.lit("홍길"), F.translate(F.substring("c_name", -1, 1), "0123456789", "가나다라마바사아자차")).alias("환자명"),
+        F.concat(F.lit("010-1234-"), F.lpad((number % 10000).cast("string"), 4, "0")).alias("휴대폰"), F.concat(F.lit("9"), number, F.lit("@a.kr")).alias("이메일"),
+        F.lit("900101-1234567").alias("birth_no"), F.concat(F.lit("PT2024"), F.lpad((number % 100).cast("string"), 2, "0")).alias("pat_no"), F.concat(F.lit("서울시 강남구 "), number).alias("주소"))
+    return masking.mask_frame(rows)
+
+
 @query("pii10_without_personal", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def pii10_without_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also PII-14 and PRJ-03."""

@@ -25,7 +25,10 @@ def test_masks(spark, kind, value, want):
 
 
 def test_kinds_from_names():
-    assert [masking.kind_of(c) for c in ("PT_NM", "HP_NO", "jumin_no", "hotel_code", "WARD_CD")] == ["name", "id", "rrn", "phone", None]
+    assert [masking.kind_of(c) for c in ("PT_NM", "HP_NO", "jumin_no", "hotel_code", "WARD_CD")] == ["name", "phone", "rrn", "phone", None]
+    kinds = {"rrn": "주민번호 주민등록번호 birth_no ID_NO PTMIPPSID omt02idnoa reg_no SSN", "name": "환자명 성함 이름 PAT_NM ptname user_nm", "phone": "전화번호 휴대폰 핸드폰 TEL_NO contact", "addr": "주소 거주지 HOME_ADDR", "email": "이메일 E_MAIL", "id": "pat_no EMP_NO chart_no patient_id PTMIPTNO"}
+    assert {c: masking.kind_of(c) for names in kinds.values() for c in names.split()} == {c: kind for kind, names in kinds.items() for c in names.split()}
+    assert not any(map(masking.kind_of, ("l_orderkey", "o_totalprice", "병동", "dept_cd", "n_regionkey")))
 
 
 def test_masking_fails_closed(spark):
@@ -64,6 +67,14 @@ def test_article_chunks():
     assert chunking.split_articles("no articles here", 500, 50) == ["no articles here"]
 
 
+def test_articles_share_chunks_by_room():
+    """Each article with its neighbours while they fit; one too long is cut by itself and shares with none."""
+    articles = [f"제{i}조 " + "가" * n for i, n in enumerate((10, 20, 200, 5, 5, 60, 60, 90), 1)]
+    got = chunking.split_articles("앞\n" + "\n".join(articles), 100, 10)
+    assert got[0] == "\n\n".join(articles[:2]) and got[-3:] == ["\n\n".join(articles[3:6]), articles[6], articles[7]]
+    assert "".join(got[1:-3]).startswith("제3조") and "".join(got[1:-3]).count("가") >= 200 and max(map(len, got)) <= 100
+
+
 @pytest.mark.parametrize("source, size, overlap", [("word " * 500, 100, 20), ("x" * 1000, 64, 10), ("a.b.c\n\n" * 90, 50, 0), ("", 10, 0), ("  ", 10, 0)])
 def test_recursive_chunks(source, size, overlap):
     chunks = chunking.split_recursively(source, size, overlap)
