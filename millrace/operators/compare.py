@@ -24,8 +24,11 @@ def anomalies(compared: DataFrame, least_before: float, least_pct: float, n: int
 
 def with_share(df: DataFrame, amount: str, name: str = "share_pct", by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Each row's share of the whole, or of its group, in percent; null where the whole is 0."""
-    whole = F.sum(amount).over(Window.partitionBy(*(by or [])))
-    return df.withColumn(name, F.round(F.try_divide(F.col(amount).cast("double") * 100, whole.cast("double")), digits))
+    share = lambda whole: F.round(F.try_divide(F.col(amount).cast("double") * 100, whole.cast("double")), digits)
+    if by:
+        return df.withColumn(name, share(F.sum(amount).over(Window.partitionBy(*by))))
+    whole = F.broadcast(df.agg(F.sum(amount).alias("share_whole")))  # one row
+    return df.crossJoin(whole).withColumn(name, share(F.col("share_whole"))).drop("share_whole")
 
 
 def dependency(df: DataFrame, amount: str, risk: float = 60, caution: float = 40) -> DataFrame:

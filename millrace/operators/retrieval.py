@@ -11,81 +11,125 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
 
-#: Queries of one block; a block goes to the tasks whole.
-QUERY_BLOCK = 512
+#: Queries of one block, and of the largest set that goes to every task as it is; vectors of a shard, about.
+QUERY_BLOCK, SENT_QUERIES, SHARD = 512, 2048, 8192
+#: Pairs that are compared exactly at once; terms of questions, at most, that go to every task.
+EXACT_PAIRS, SENT_TERMS = 100_000, 100_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """query_id, rank, id and distance (squared L2) of each query's k nearest vectors; ties to the smaller id.
+def _first(row: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's (id, distance), the k of least distance; ties to the smaller id."""
+    order = np.lexsort((ids, distance, row))
+    row, ids, distance = row[order], ids[order], distance[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[place < k], distance[place < k]
+
+
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, squared distance) of the k vectors of x nearest to each row of q.
 
-    A stated set of at most `max_queries` queries meets all vectors: the queries go to every task, each task keeps k a query,
-    and the window merges them.
+    Distances by products leave out what can't be among the k nearest, with a bound for their rounding; the others are compared exactly.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(max_queries + 1).toPandas()
-    if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in parts")
-    ids, matrix = asked.query_id.to_numpy(), np.array(asked.vector.tolist(), float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(float)
-            found = [best] if best is not None else []
-            for at in range(0, len(ids), QUERY_BLOCK):
-                q = matrix[at : at + QUERY_BLOCK]
-                of_q, of_x = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
-                near = of_q - 2 * q @ x.T + of_x
-                # What rounding may add to or take from a distance; whatever may be among the k nearest is compared exactly.
-                slack = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (of_q + of_x)
-                if near.shape[1] > k:
-                    limit = np.partition(near + slack, k - 1, axis=1)[:, k - 1]
-                    may = ~(near - slack > limit[:, None])  # what is not a number stays
-                else:
-                    may = np.ones(near.shape, bool)
-                for i in range(len(q)):
-                    row = np.flatnonzero(may[i])
-                    exact = ((x[row] - q[i]) ** 2).sum(1)
-                    held = pdf["id"].to_numpy()[row]
-                    first = np.lexsort((held, exact))[:k]
-                    found.append(pd.DataFrame({"query_id": ids[at + i], "id": held[first], "distance": exact[first]}))
-            best = pd.concat(found).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+    found = []
+    for at in range(0, len(q), QUERY_BLOCK):
+        block = q[at : at + QUERY_BLOCK]
+        of_q, of_x = (block * block).sum(1)[:, None], (x * x).sum(1)[None, :]
+        near = of_q - 2 * block @ x.T + of_x
+        slack = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (of_q + of_x)
+        limit = np.partition(near + slack, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.inf
+        row, column = np.nonzero(~(near - slack > limit))  # what is not a number stays
+        cuts = np.searchsorted(row, np.arange(len(block) + 1))
+        first = 0
+        while first < len(block):  # whole rows, about EXACT_PAIRS at a time
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + EXACT_PAIRS, "right")) - 1)
+            r, c = row[cuts[first] : cuts[last]], column[cuts[first] : cuts[last]]
+            exact = np.concatenate([((x[c[i : i + EXACT_PAIRS]] - block[r[i : i + EXACT_PAIRS]]) ** 2).sum(1) for i in range(0, len(r), EXACT_PAIRS)] or [np.zeros(0)])
+            r, held, exact = _first(r, ids[c], exact, k)
+            found.append((r + at, held, exact))
+            first = last
+    return tuple(np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int), ids[:0], np.zeros(0))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, id and distance (squared L2) of each query's k nearest vectors; ties to the smaller id.
 
+    A stated set of queries meets all vectors. Up to SENT_QUERIES queries go to every task as they are; more are dealt to blocks, each of which
+    meets every shard of the vectors. A task keeps k a query, and a window merges them.
+    """
+    held = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    held = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    per_task = held.mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
+    first = asked.limit(SENT_QUERIES + 1).toPandas()
+    if len(first) <= SENT_QUERIES:
+        sent = vectors.sparkSession.sparkContext.broadcast((first["query_id"].to_numpy(), np.array(first["vector"].tolist(), float)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            best = None
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    now = nearest(q, np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy(), k)
+                    best = now if best is None else _first(*(np.concatenate(x) for x in zip(best, now)), k)
+            if best is not None:
+                yield pd.DataFrame({"query_id": ids[best[0]], "id": best[1], "distance": best[2]})
+
+        per_task = held.mapInPandas(run, schema)
+    else:
+        n, m = asked.count(), held.count()
+        shards, blocks = -(-m // SHARD), -(-n // SENT_QUERIES)
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1)))
+        dealt = held.select(F.pmod(F.xxhash64("id"), F.lit(max(shards, 1))).cast("int").alias("shard"), every(blocks).alias("block"), "id", "v")
+        asking = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "vector")
+
+        def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(q):
+                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            row, ids, distance = nearest(np.stack(q["vector"].to_numpy()).astype(float), np.stack(x["v"].to_numpy()).astype(float), x["id"].to_numpy(), k)
+            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "id": ids, "distance": distance})
+
+        per_task = dealt.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return per_task.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf, dl) postings and one row of n and avgdl; documents without terms count in n."""
-    lengths = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms"))
-    postings = lengths.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return postings, lengths.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("terms"), F.lit(0))).alias("avgdl"))
+def bm25_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, df) of all terms, and one row of n, avgdl and the terms' mean idf; documents without terms count in n.
+
+    Both come from one aggregation, in which the empty term stands for every document.
+    """
+    terms = tokens(F.coalesce(F.col(text_col), F.lit("")))
+    each = docs.select(F.size(terms).alias("dl"), F.explode(F.array_append(F.array_distinct(terms), "")).alias("term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    size = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    df = counts.where("term <> ''").select("term", "df")
+    mean = df.crossJoin(F.broadcast(size)).groupBy("n", "avgdl").agg(F.avg(_idf()).alias("mean_idf"))  # one row each
+    return df, mean
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, rank, id and score of each query's k best documents with a positive score; ties to the smaller id.
 
     idf = ln((n - df + 0.5) / (df + 0.5)); where that is negative it is epsilon times the mean idf of all terms. Terms that a
-    query repeats count as often.
+    query repeats count as often. Of the documents' terms only those that are asked for are shuffled by document.
     """
-    postings, size = bm25_index(docs, id_col, text_col)
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = df.agg(F.avg(idf).alias("mean_idf"))
+    df, size = bm25_terms(docs, text_col)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    weights = wanted.select("term", "avgdl", F.when(idf < 0, F.col("mean_idf") * epsilon).otherwise(idf).alias("idf"))
-    hits = postings.join(weights, "term").join(asked, "term")
+    wanted = asked.select("term").distinct()
+    few = wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    weights = df.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").crossJoin(F.broadcast(size))
+    weights = weights.select("term", "avgdl", F.when(_idf() < 0, F.col("mean_idf") * epsilon).otherwise(_idf()).alias("idf"))
+    every = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    postings = every.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    hits = postings.join(F.broadcast(weights) if few else weights, "term").join(asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
