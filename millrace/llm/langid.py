@@ -160,7 +160,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of every row; null texts and those without letters are `und` with score 0.
 
-    Only the text counts. Rows that repeat are judged alike; an empty table gives an empty one.
+    Only the text counts; other columns, whatever their names, don't. Rows that repeat are judged alike. Ties go to the language that sorts first, and are
+    ambiguous. Very long texts are judged as a whole. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is known and not ambiguous."""
+    """The rows of `docs`, with all their columns, whose language is known and not ambiguous: null texts and those without letters go, rows that repeat stay."""
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

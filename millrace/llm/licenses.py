@@ -89,7 +89,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, id_col: str = "
     """doc_id, license and containment: the templates that some window of a document's whole text holds to at least CONTAINMENT.
 
     One row for each id and license, with the largest containment. Null, empty and short texts match nothing; rows that repeat an id
-    are one document. Templates need SHINGLE words at least.
+    are one document. Null ids are one document. Other columns don't matter, and an empty table gives an empty one. Templates need SHINGLE words at least.
     """
     spark = docs.sparkSession
     templates = {k: words(v) for k, v in (notices or NOTICES).items()}

@@ -90,10 +90,10 @@ class Discriminant:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discriminant:
     """Fitted on the labelled documents, or on about `fit_rows` of them, chosen by hash, if there are more.
 
-    `labels` has doc_id and quality; other values than 0 and 1 are left out. Executors reduce the
+    `labels` has doc_id and quality; other values than 0 and 1 are left out, and of an id labelled more than once the largest label counts. Executors reduce the
     documents to sums; what reaches the driver is a few numbers a class and partition.
     """
-    labels = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality"))
+    labels = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("int").alias("quality"))
     n = labels.count()
     if n > fit_rows:
         labels = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(10**12)) < int(10**12 * fit_rows / n))
@@ -122,7 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; null and empty texts are scored like any other, rows that repeat alike."""
+    """doc_id and score (0 to 1) of every row; null and empty texts are scored like any other, rows that repeat alike.
+
+    Only the text counts; other columns don't. Null ids stay null. An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +137,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score at least `threshold`."""
+    """The rows of `docs`, with all their columns, that score at least `threshold`; a score equal to it suffices, rows that repeat are judged alike."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
     Documents with equal fingerprints are linked; distinct fingerprints are compared once, whatever the number
     of their documents. Null and empty texts have fingerprint 0 and are linked with each other; null ids
     get the component of their fingerprint and are never its name (null where no other id is in it).
-    Rows that share an id but not a fingerprint share no component by that. An empty table gives an empty one.
+    Rows that share an id but not a fingerprint share no component by that. Whole texts count, however long; other columns
+    don't matter. An empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")

@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -76,3 +80,79 @@ def test_quality_of_odd_rows(spark):
     assert quality.keep(df, model).columns == df.columns
     assert {r.score for r in quality.score(df, quality.fit(df, labels.limit(0))).collect()} == {0.5}
     assert quality.score(df.limit(0), quality.fit(df.limit(0), labels)).count() == 0
+
+
+def brute_grams(text):
+    """Buckets of the n-grams of runs of letters, one space around each, counted one by one."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+    line = [ord(c) for c in " " + "".join(w + " " for w in words if w)]
+    counts = Counter()
+    for n in (1, 2, 3) if len(line) > 1 else ():
+        for i in range(len(line) - n + 1):
+            code = 0
+            for k in range(n):
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ (line[i + k] + (k + 1) * 0x9E37)
+            counts[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 17] += 1
+    return counts
+
+
+def test_langid_query_against_brute_force(spark, sf_dir):
+    """The whole query from plain dictionaries: counts, classifiers of all ways to part the languages, their weights, decoding."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    grams = {d.doc_id: brute_grams(d.text) for d in docs}
+    train = [d for d in docs if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 5]
+    langs = sorted({d.lang for d in train})
+    counts = {x: sum((grams[d.doc_id] for d in train if d.lang == x), Counter()) for x in langs}
+    share = lambda x, b: (counts[x][b] + 0.5) / (counts[x].total() + 0.5 * 32768)
+    splits = [[1 if s >> i & 1 else -1 for i in range(len(langs))] for s in range(1, 1 << (len(langs) - 1))]
+    seen = set().union(*grams.values())
+    weight = [{b: math.log(np.mean([share(x, b) for x, w in zip(langs, split) if w > 0]) / np.mean([share(x, b) for x, w in zip(langs, split) if w < 0])) for b in seen} for split in splits]
+    odds = {i: [sum(n * w[b] for b, n in g.items()) * min(g.total(), 300) / max(g.total(), 1) for w in weight] for i, g in grams.items()}
+    lettered = [d for d in train if grams[d.doc_id]]
+    trust = [max(0.05, 2 * np.mean([odds[d.doc_id][k] * split[langs.index(d.lang)] > 0 for d in lettered]) - 1) for k, split in enumerate(splits)]
+    got = {r.doc_id: r for r in queries.op1_langid(spark, sf_dir).collect()}
+    assert len(got) == len(docs) and len(langs) > 2
+    for d in docs:
+        loss = [sum(t * np.logaddexp(0, -o * split[j]) for t, o, split in zip(trust, odds[d.doc_id], splits)) * 2 / sum(trust) for j in range(len(langs))]
+        likely = np.exp(min(loss) - np.array(loss))
+        likely /= likely.sum()
+        r = got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+        if not grams[d.doc_id]:
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0, False)
+        else:
+            first, second = np.sort(likely)[::-1][:2]
+            assert r.score == pytest.approx(first, abs=2e-3)
+            assert first - second < 0.01 or r.lang_pred == langs[likely.argmax()]
+            assert abs(first - second - langid.MARGIN) < 0.01 or r.ambiguous == (first - second < langid.MARGIN)
+
+
+def brute_statistics(text):
+    text = text or ""
+    data, words, lines = text.encode(), text.split(), text.split("\n")
+    odds = lambda part, whole: math.log((part + 0.5) / (max(whole, part) - part + 0.5))
+    kind = Counter("A" if 65 <= b < 91 else "a" if 97 <= b < 123 else "x" if b >= 128 else "0" if 48 <= b < 58 else " " if b == 32 or 9 <= b < 14 else "." if b in b",." else "#" for b in data)
+    shown, n = len(data) - kind[" "], len(words)
+    return [math.log(n + 1), math.log((len(data) + 1) / (n + 1)), odds(len(set(words)), n), odds(kind["A"], shown), odds(kind["0"], shown), odds(kind["#"], shown), odds(kind["."], n + kind["."]),
+            odds(max(Counter(words).values(), default=0), n), odds(len({(a, b) for a, b in zip(words, words[1:])}), max(n - 1, 0)), math.log(len(lines) / len(set(lines))), math.log((n + 1) / len(lines))]
+
+
+def test_quality_query_against_brute_force(spark, sf_dir):
+    """The whole query from plain statistics and densities by determinants and inverses."""
+    docs = {d.doc_id: brute_statistics(d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = [r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in docs]
+    rows = {c: np.array([docs[r.doc_id] for r in labels if r.quality == c]) for c in (0, 1)}
+    own = {c: np.cov(x.T) for c, x in rows.items()}
+    pooled = sum(own[c] * (len(x) - 1) for c, x in rows.items()) / (sum(map(len, rows.values())) - 2)
+    cov = {c: 0.5 * own[c] + 0.5 * pooled + np.diag(1e-3 * np.diag(pooled) + 1e-6) for c in own}
+
+    def density(x, c):
+        away = x - rows[c].mean(0)
+        return math.log(len(rows[c])) - 0.5 * np.linalg.slogdet(cov[c])[1] - 0.5 * away @ np.linalg.inv(cov[c]) @ away
+
+    got = {r.doc_id: r for r in queries.op8_quality(spark, sf_dir).collect()}
+    assert len(got) == len(docs) and min(map(len, rows.values())) > 5
+    for i, x in docs.items():
+        want = 1 / (1 + math.exp(min(500, max(-500, density(x, 0) - density(x, 1)))))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == (got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
