@@ -2,29 +2,38 @@
 
 Vectors become integers, floor(1024 x). The largest inner products are the smallest distances once every vector x
 gets one more component, sqrt(M^2 - |x|^2) with M the largest length, and every query a zero there: then
-|q - x|^2 = |q|^2 + M^2 - 2 q.x. The candidates are dealt to shards by hash; each shard is a tree of pages, bulk-loaded and
-written as a table: an entry of a page has its distance to the page's routing vector and, in inner pages, a covering
-radius. A query visits the pages of a shard by their upper bound of the score and stops when that is below its k-th
-score; the stored distances rule out entries by the triangle inequality before their own distance is computed.
+|q - x|^2 = |q|^2 + M^2 - 2 q.x. The candidates are dealt to cells, each to its nearest pivot, and a cell's to shards by hash; each
+shard is a tree of pages, bulk-loaded and written as a table: an entry of a page has its distance to the page's routing vector and,
+in inner pages, a covering radius. A query first searches one shard of the cell that promises most. Its k-th score then rules out
+cells by their pivots and covering radii, and only the shards of the others are sent the query. It visits the pages of a shard by their
+upper bound of the score and stops when that is below its k-th score; the stored distances rule out entries by the
+triangle inequality before their own distance is computed.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, drop
 from millrace.llm.embedding import usable
 
 #: Vectors of a shard, about, and queries that one task answers; entries of a page; pages that an inner page routes to.
 SHARD, QUERIES, PAGE, FANOUT = 8192, 1024, 512, 16
+#: Components of a shard, about: shards of long vectors hold fewer of them.
+SHARD_VALUES = 1 << 21
+#: Pivots of one vector length at most, and components of all pivots together: 16 MB are broadcast at most. So many times more vectors are drawn to choose them from.
+PIVOTS, PIVOT_VALUES, DRAWN = 4096, 1 << 21, 4
 SCALE = 1024
+#: The least score there is: no score to reach yet.
+NONE = -(1 << 63)
 
-PAGES = "dim int, shard int, page int, leaf boolean, ids array<long>, vectors array<long>, to_parent array<double>, radii array<double>, children array<int>, longest double"
+PAGES = "dim int, cell int, part int, page int, leaf boolean, ids array<long>, vectors array<long>, to_parent array<double>, radii array<double>, children array<int>, longest double"
 
 
 def _exact(dim: int, largest: float) -> bool:
@@ -88,8 +97,8 @@ class Tree:
         #: Scores and distances computed so far.
         self.computed = 0
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of other ids; ties to the smaller id."""
+    def search(self, own: int, query: np.ndarray, k: int, floor: int = NONE) -> list[tuple[int, int]]:
+        """The k best (score, id) of other ids with a score of `floor` or more; ties to the smaller id."""
         q = query.astype(np.float64)
         square = q @ q + self.longest**2
         exact = _exact(len(q), max(self.largest, np.abs(q).max()))
@@ -98,12 +107,12 @@ class Tree:
         queue = [(-np.inf, 0, np.nan)]  # minus the upper bound, page, distance to its routing vector
         while queue:
             bound, number, away = heapq.heappop(queue)
-            least = best[0][0] if len(best) == k else -np.inf
-            if -bound + slack < least:
+            least = max(floor, best[0][0]) if len(best) == k else floor
+            if least > NONE and -bound + slack < least:
                 break
             leaf, ids, vectors, floats, to_parent, radii, children = self.pages[number]
             near = slice(None)
-            if away == away and len(best) == k:
+            if away == away and least > NONE:
                 # |d(q, parent) - d(parent, entry)| - radius is no more than the distance to anything below the entry.
                 low = np.maximum(np.abs(away - to_parent) - (0 if leaf else radii), 0)
                 near = np.flatnonzero((square - low * low) / 2 + slack >= least)
@@ -112,7 +121,7 @@ class Tree:
             self.computed += len(ids[near])
             if leaf:
                 scores = (floats[near] @ q).astype(np.int64) if exact else dots(vectors[near], query)
-                if len(best) == k:
+                if least > NONE:
                     good = np.flatnonzero(scores >= least)
                     scores, found = scores[good], ids[near][good]
                 else:
@@ -131,13 +140,80 @@ class Tree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
+class Cells:
+    """The cells of one vector length: pivots, and how far a cell's vectors are from its pivot, in both metrics."""
+
+    def __init__(self, pivots: np.ndarray, longest: float):
+        self.pivots, self.longest = pivots.astype(np.float64), longest
+        self.lift = np.sqrt(np.maximum(longest**2 - (self.pivots**2).sum(1), 0))
+        self.radii, self.reaches = (np.full(len(pivots), -np.inf) for _ in range(2))
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each vector, and its distance to the pivot with and without the component that makes lengths equal."""
+        lift = np.sqrt(np.maximum(self.longest**2 - (vectors**2).sum(1), 0))
+        cell = (vectors @ self.pivots.T + lift[:, None] * self.lift[None, :]).argmax(1)
+        reach = np.linalg.norm(vectors - self.pivots[cell], axis=1)
+        return cell, np.hypot(reach, lift - self.lift[cell]), reach
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For every query and cell a score that nothing in the cell exceeds; minus infinity for a cell without vectors."""
+        own = (queries**2).sum(1)[:, None]
+        square = own + self.longest**2
+        inner = queries @ self.pivots.T
+        low = np.maximum(np.sqrt(np.maximum(square - 2 * inner, 0)) - self.radii, 0)
+        upper = np.minimum((square - low * low) / 2, inner + np.sqrt(own) * self.reaches) + 2e-7 * square + 0.5
+        return np.where(np.isneginf(self.radii), -np.inf, upper)
+
+
+def _in_chunks(pdf: pd.DataFrame, values: int = 1 << 22) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    """Vector length, rows and matrix of the rows of one length, at most `values` components or distances to pivots at once."""
+    for dim, rows in pdf.groupby("dim", sort=False):
+        step = max(1, values // max(int(dim), PIVOTS))
+        for at in range(0, len(rows), step):
+            part = rows.iloc[at : at + step]
+            yield int(dim), part, np.stack(part.vector.to_numpy()).astype(np.float64)
+
+
+def _assign(cells) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds cell, both distances to its pivot, and a number that parts rows alike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seat = 0
+        for pdf in batches:
+            for dim, rows, vectors in _in_chunks(pdf):
+                own = cells.value.get(dim)
+                cell, away, reach = own.nearest(vectors) if own else (0, 0.0, 0.0)
+                yield rows.assign(cell=cell, away=away, reach=reach, seat=np.arange(seat, seat + len(rows)))
+                seat += len(rows)
+
+    return run
+
+
+def _route(cells, first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds the cell that promises a query most, and which cells to search: that one first, then all that may hold a score of `least`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, rows, vectors in _in_chunks(pdf):
+                if own := cells.value.get(dim):
+                    bounds = own.bounds(vectors)
+                    home = bounds.argmax(1)
+                    least = rows.least.to_numpy()
+                    to = [[h] if first else np.flatnonzero(~np.isneginf(b) & ((b >= l) | (l == NONE))) for b, h, l in zip(bounds, home, least)]
+                else:
+                    home, to = np.zeros(len(rows), np.int64), [[0]] * len(rows)
+                yield rows.assign(home=home, cells=to)
+
+    return run
+
+
 def _search(k: int):
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(pages) and len(queries):
             tree = Tree(pages, int(pages.dim.iloc[0]))
             for q in queries.itertuples():
-                rows += [(q.query_id, i, s) for s, i in tree.search(q.query_id, np.asarray(q.vector, np.int64), k)]
+                rows += [(q.query_id, i, s) for s, i in tree.search(q.query_id, np.asarray(q.vector, np.int64), k, int(q.least))]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -147,29 +223,97 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id", kind="stable")
     pages = pd.DataFrame(build(pdf.vec_id.to_numpy(), np.stack(pdf.vector.to_numpy()).astype(np.int64)))
     pages.insert(0, "page", np.arange(len(pages), dtype=np.int32))
-    pages.insert(0, "shard", pdf.shard.iloc[0])
-    pages.insert(0, "dim", pdf.dim.iloc[0])
+    for column in ("part", "cell", "dim"):
+        pages.insert(0, column, pdf[column].iloc[0])
     return pages
 
 
+def spread(drawn: np.ndarray, k: int) -> np.ndarray:
+    """k of the drawn vectors, each the farthest from those before it; fewer if the rest are copies of these."""
+    squares = (drawn**2).sum(1)
+    chosen, gap = [0], np.full(len(drawn), np.inf)
+    while len(chosen) < k:
+        gap = np.minimum(gap, squares - 2 * (drawn @ drawn[chosen[-1]]) + squares[chosen[-1]])
+        gap[chosen[-1]] = 0
+        if not gap.max() > 0:
+            break
+        chosen.append(int(gap.argmax()))
+    return drawn[chosen]
+
+
+def _cells(rows: DataFrame, sizes: DataFrame) -> dict[int, Cells]:
+    """Pivots for the vector lengths that fill several shards: a share of PIVOT_VALUES each, so their size is bounded."""
+    total = sizes.select(F.sum(F.col("n") * F.col("dim"))).first()[0] or 1
+    share = F.floor(F.lit(PIVOT_VALUES) * F.col("n") / F.lit(total))
+    wanted = sizes.select("dim", "n", "longest", F.least(F.ceil(F.col("n") / F.col("per")), share, F.lit(PIVOTS)).alias("pivots")).where("pivots > 1")
+    drawn = F.xxhash64("vector")
+    # Copies of a vector are drawn together and count once.
+    some = rows.join(wanted, "dim").where(F.pmod(drawn, F.col("n")) < DRAWN * F.col("pivots")).select("dim", "longest", "pivots", "vector").distinct()
+    order = Window.partitionBy("dim").orderBy(drawn, "vector")
+    chosen: dict[int, list] = {}
+    for r in some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DRAWN * F.col("pivots")).toLocalIterator():
+        chosen.setdefault((r.dim, r.longest, r.pivots), []).append(np.array(r.vector, np.float64))
+    return {dim: Cells(spread(np.stack(found), pivots), float(np.sqrt(longest))) for (dim, longest, pivots), found in chosen.items()}
+
+
+def _meet(pages: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of what the queries find in the shards that they are sent to; pages go to shards with queries only."""
+    place = ["dim", "cell", "part"]
+    blocks = cut(routed.groupBy(place).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")), "blocks")
+    paged = pages.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(1), "blocks"))).drop("blocks")
+    asked = routed.join(blocks, place).withColumn("block", (F.pmod(F.xxhash64("query_id", "vector"), F.col("blocks")) + 1).cast("int")).drop("blocks")
+    found = cut(paged.groupBy(*place, "block").cogroup(asked.groupBy(*place, "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long"), "found")
+    drop(blocks)
+    return found
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for every row whose id is divisible by `every`, the k best rows of other ids.
 
     Ties go to the smaller id. Vectors that are null, empty or hold null or non-finite components take no
     part, nor do null ids; a query meets vectors of its own length only. Rows that repeat an id are candidates
-    each; as queries they share one answer, the best of what their vectors find. Queries are dealt to every shard in blocks; nothing is collected.
+    each; as queries they share one answer, the best of what their vectors find. Vectors may be of any length; other columns
+    don't matter; an empty table gives an empty one. Only pivots and their radii are collected (PIVOT_VALUES).
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable(F.col("x")))
-    rows = cut(rows.select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE).cast("long")).alias("vector"), F.size("x").alias("dim")), "vectors")
-    sizes = cut(rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / QUERIES).cast("int").alias("blocks")), "sizes")
-    sharded = rows.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "dim")
-    shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.col("shards")).cast("int").alias("shard")
-    pages = cut(sharded.select("dim", shard, "vec_id", "vector").groupBy("dim", "shard").applyInPandas(_build, PAGES), "pages")
-    # Pages are dealt to every block of queries, queries to every shard.
-    paged = pages.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "dim")
-    paged = paged.withColumn("block", F.explode(F.sequence(F.lit(1), "blocks"))).where("blocks > 0").drop("shards", "blocks")
-    queries = sharded.where(F.col("vec_id") % every == 0).distinct()
-    queries = queries.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), (F.pmod(F.xxhash64("vec_id"), F.col("blocks")) + 1).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "vector")
-    found = paged.groupBy("dim", "shard", "block").cogroup(queries.groupBy("dim", "shard", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    usable_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable(F.col("x")))
+    rows = cut(usable_rows.select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE).cast("long")).alias("vector"), F.size("x").alias("dim")), "vectors")
+    per = F.least(F.lit(SHARD), F.greatest(F.lit(1), F.floor(F.lit(SHARD_VALUES) / F.col("dim")))).cast("int").alias("per")
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = cut(rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(square).alias("longest")).withColumn("per", per), "sizes")
+    cells = _cells(rows, sizes)
+    shared = spark.sparkContext.broadcast(cells)
+    placed = cut(rows.mapInPandas(_assign(shared), "vec_id long, vector array<long>, dim int, cell int, away double, reach double, seat long"), "placed")
+    shards = cut(placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("reach").alias("reach")).join(sizes.select("dim", "per"), "dim").select("dim", "cell", F.ceil(F.col("n") / F.col("per")).cast("int").alias("parts"), "radius", "reach"), "shards")
+    if cells:
+        for r in shards.where(F.col("dim").isin(list(cells))).toLocalIterator():
+            cells[r.dim].radii[r.cell], cells[r.dim].reaches[r.cell] = r.radius, r.reach
+    shared = spark.sparkContext.broadcast(cells)
+
+    parts = shards.select("dim", "cell", "parts")
+    dealt = placed.select("dim", "cell", "vec_id", "vector", "seat").join(parts, ["dim", "cell"])
+    pages = cut(dealt.select("dim", "cell", F.pmod(F.xxhash64("vec_id", "seat"), F.col("parts")).cast("int").alias("part"), "vec_id", "vector").groupBy("dim", "cell", "part").applyInPandas(_build, PAGES), "pages")
+    queries = cut(placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector", "dim").distinct(), "queries")
+    drop(rows, sizes, placed)
+
+    asked = "query_id long, vector array<long>, dim int, least long, home int, cells array<int>"
+    seen_part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
+
+    def routed(given: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+        to = cut(given.mapInPandas(_route(shared, first), asked), "routed")
+        each = to.select("query_id", "vector", "dim", "least", "home", F.explode("cells").alias("cell")).join(parts, ["dim", "cell"])
+        if first:
+            return to, each.withColumn("part", seen_part)
+        every_part = each.withColumn("seen", seen_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return to, every_part.where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("seen")))
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cut(found, "found").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ("dim", "cell", "part", "query_id", "vector", "least")
+    table, sent = routed(queries.withColumn("least", F.lit(NONE)), True)
+    near = _meet(pages, sent.select(*columns), k)
+    drop(table)
+    reached = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    table, sent = routed(queries.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(NONE))).select("query_id", "vector", "dim", "least"), False)
+    far = _meet(pages, sent.select(*columns), k)
+    drop(table, pages, queries, shards)
+    return near.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

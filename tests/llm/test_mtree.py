@@ -24,6 +24,16 @@ def brute(rows, every, k=10):
     return out
 
 
+def brute_rows(rows, every, k=10):
+    whole = [(i, np.floor(1024 * np.asarray(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows]
+    out = []
+    for i, q in whole:
+        if i % every == 0:
+            scores = sorted((-int(q @ v), j) for j, v in whole if j != i and len(v) == len(q))
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:k])]
+    return out
+
+
 @pytest.mark.parametrize("shard, page", [(8192, 128), (40, 4)])
 def test_against_brute_force(spark, monkeypatch, shard, page):
     monkeypatch.setattr(mtree, "SHARD", shard)
@@ -51,6 +61,36 @@ def test_bounds_spare_computations():
     assert tree.computed < 10 * 4000 * 0.5
 
 
+def test_queries_are_sent_to_few_shards(spark, monkeypatch):
+    """On clustered vectors the pivots' bounds keep most queries from most shards, and the answer stays exact."""
+    monkeypatch.setattr(mtree, "SHARD", 50)
+    sent, meet = [], mtree._meet
+    monkeypatch.setattr(mtree, "_meet", lambda pages, routed, k: (sent.append((routed.count(), pages.select("dim", "cell", "part").distinct().count())), meet(pages, routed, k))[1])
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    centres *= 4 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.02).astype(np.float32).tolist()) for i in range(2000)]
+    got = mtree.top_k(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA), every=20).collect()
+    assert {tuple(r) for r in got} == brute(rows, 20)
+    shards = sent[1][1]
+    assert shards > 20 and sent[0][0] == 100 and sent[1][0] < 100 * shards * 0.25
+
+
+def test_repeats_and_long_vectors(spark, monkeypatch):
+    """A hot row, a query id with two vectors, and vectors so long that a shard holds few of them."""
+    monkeypatch.setattr(mtree, "SHARD", 16)
+    monkeypatch.setattr(mtree, "SHARD_VALUES", 40_000)
+    rng = np.random.default_rng(9)
+    long = [(1000 + i, rng.normal(size=10_000).astype(np.float32).tolist()) for i in range(12)]
+    short = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(1, 60)] + [(7, [1.0, 2.0, 3.0, 4.0])] * 90
+    rows = long + short
+    got = mtree.top_k(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA), every=10).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_rows(rows, 10))
+    two = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0]), (3, [1.0, 1.0])]
+    best = mtree.top_k(spark.createDataFrame([(*r, 1, "x", 2) for r in two], SCHEMA), k=2, every=10).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in best] == [(2, 7 << 20), (1, 5 << 20)]
+
+
 def test_large_components_are_exact():
     big = np.array([[1 << 40, 3], [1 << 40, 1]], np.int64)
     assert mtree.dots(big, np.array([1 << 20, 1], np.int64)).tolist() == [(1 << 60) + 3, (1 << 60) + 1]
