@@ -5,13 +5,15 @@ most `max_bits` bits, some segment starts a chain whose first l segments differ
 floor(l * max_bits / SEGMENTS) bits together, for every l. With 5 segments and 4 bits: the first segment is equal,
 the first two differ in one bit at most, the first three in two, the first four in three. The first two conditions are
 met by an equi-join on 25 to 26 bits: each fingerprint is filed under its own two segments and looked up under
-these and all values that differ from them in one bit of the second. The other conditions prune the
-candidates before the Hamming distance of the whole is checked.
+these and all values that differ from them in one bit of the second. From `LONG_CHAINS` fingerprints on the third condition
+joins as well, on 38 to 39 bits: more look-ups, each of which meets far fewer others. The other conditions
+prune the candidates before the Hamming distance of the whole is checked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,9 @@ SEED = 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: The distance that SEGMENTS and the join's key are made for.
 MAX_BITS = 4
+#: Segments in a key, and the number of fingerprints from which there is one more. A fingerprint has 70 look-ups under two segments and 1370 under
+#: three; under two each meets one other for 2^26 fingerprints, so both cost the same at about 1300 / 70 * 2^26.
+CHAIN, LONG_CHAINS = 2, 1_200_000_000
 #: A key under which more fingerprints than this are filed is compared in blocks of this many.
 BLOCK = 512
 
@@ -74,26 +79,35 @@ def _mask(start: int, chain: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def _within(start: Column, diff: Column) -> Column:
-    """The chain conditions that the key doesn't meet by itself, then the full check."""
+def _within(start: Column, diff: Column, keyed: int) -> Column:
+    """The chain conditions that a key of `keyed` segments doesn't meet by itself, then the full check."""
     ok = F.lit(True)
-    for chain in range(3, len(SEGMENTS)):
+    for chain in range(keyed + 1, len(SEGMENTS)):
         mask = F.element_at(F.array(*(F.lit(_mask(i, chain)) for i in range(len(SEGMENTS)))), start.cast("int") + 1)
         ok = ok & (F.bit_count(diff.bitwiseAND(mask)) <= chain * MAX_BITS // len(SEGMENTS))
     return ok & (F.bit_count(diff) <= MAX_BITS)
 
 
-def _keys(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp) under which fingerprints are filed, and under which they are looked up."""
+def _flips(start: int, chain: int) -> list[int]:
+    """What keys of `chain` segments from number `start` on may differ in: in all chains within them, no more bits than these may."""
+    found = [(0, 0)]
+    for step in range(1, chain):
+        width, shift, budget = SEGMENTS[(start + step) % len(SEGMENTS)][1], 13 * (chain - 1 - step), (step + 1) * MAX_BITS // len(SEGMENTS)
+        found = [(flip | sum(1 << shift + b for b in bits), n + more) for flip, n in found for more in range(budget - n + 1) for bits in combinations(range(width), more)]
+    return [flip for flip, _ in found]
+
+
+def _keys(fps: DataFrame, chain: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) under which fingerprints are filed, and under which they are looked up; a key is the chain's start and its segments of 13 bits."""
     filed, looked = [], []
     for i in range(len(SEGMENTS)):
-        (at, width), (at2, width2) = SEGMENTS[i], SEGMENTS[(i + 1) % len(SEGMENTS)]
-        own = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        following = F.shiftrightunsigned("fp", at2).bitwiseAND(F.lit((1 << width2) - 1))
-        key = F.lit(i << 26).bitwiseOR(F.shiftleft(own, 13)).bitwiseOR(following)
+        key = F.lit(i).cast("long")
+        for at, width in (SEGMENTS[(i + k) % len(SEGMENTS)] for k in range(chain)):
+            key = F.shiftleft(key, 13).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
         filed.append(key)
-        looked += [key, *(key.bitwiseXOR(F.lit(1 << bit)) for bit in range(width2))]
-    return tuple(fps.select(F.explode(F.array(*(k.cast("long") for k in keys))).alias("key"), "fp") for keys in (filed, looked))
+        flips = F.array(*(F.lit(flip).cast("long") for flip in _flips(i, chain)))
+        looked.append(F.transform(flips, key.bitwiseXOR))
+    return fps.select(F.explode(F.array(*filed)).alias("key"), "fp"), fps.select(F.explode(F.concat(*looked)).alias("key"), "fp")
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,13 +132,14 @@ def near_links(fps: DataFrame) -> DataFrame:
     Keys with up to BLOCK fingerprints give all their pairs by a join. A key with more is dealt out in pairs of blocks,
     each of which gives links that connect the same fingerprints; no task ever holds a whole key.
     """
-    filed, looked = _keys(fps)
+    chain = CHAIN if fps.count() < LONG_CHAINS else CHAIN + 1
+    filed, looked = _keys(fps, chain)
     large = cut(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-keys")
     has_large = large.limit(1).count() > 0
     small = filed.join(large, "key", "left_anti") if has_large else filed
     diff = F.col("fp").bitwiseXOR(F.col("other"))
     pairs = looked.join(small.select("key", F.col("fp").alias("other")).hint("shuffle_hash"), "key")
-    links = pairs.where((F.col("fp") < F.col("other")) & _within(F.shiftright("key", 26), diff)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    links = pairs.where((F.col("fp") < F.col("other")) & _within(F.shiftright("key", 13 * chain), diff, chain)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if has_large:
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -62,6 +62,24 @@ def test_dense_keys_in_blocks(spark, monkeypatch):
     assert sorted(got.values()) == sorted(Counter(brute_components(prints).values()).values())
 
 
+def test_long_chains(spark, monkeypatch):
+    """Keys of three segments, as for very many fingerprints, link the same pairs; copies of 0 to 6 bits around centres, of which the first is all zeros."""
+    monkeypatch.setattr(simhash, "LONG_CHAINS", 0)
+    assert max(len(simhash._flips(i, 3)) for i in range(5)) == 274
+    rng, prints = random.Random(5), {}
+    for c in range(4):
+        centre = rng.getrandbits(64) if c else 0
+        for _ in range(60):
+            fp = centre
+            for b in rng.sample(range(64), rng.randint(0, 6)):
+                fp ^= 1 << b
+            prints[fp] = fp
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in prints]
+    found = {(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.near_links(spark.createDataFrame(signed, "fp long")).collect()}
+    want = {(x, y) for x in prints for y in prints if x != y and (x ^ y).bit_count() <= 4}
+    assert found | {(b, a) for a, b in found} == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5, "x"), (2, "", 5, "x"), (3, " \t\n", 5, None), (4, "A b", 1, "x"), (5, "a B", 1, "x"), (5, "a B", 1, "x"), (None, "a b", 1, "x"), (6, "w " * 50_000, 1, "x"), (7, "Ä ä", 1, "x")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
