@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.errors import StatementError
 from millrace.functions.masking import mask_frame
 
 
-class Rejected(ValueError):
+class Rejected(StatementError, ValueError):
     """A statement that may not run, and why."""
 
 

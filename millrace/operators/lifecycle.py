@@ -60,3 +60,11 @@ def page_count(rows: Column, size: int = 15) -> Column:
 def audit(action: str, target: Column, who: str, at: Column) -> list[Column]:
     """The columns of an audit row."""
     return [F.lit(action).alias("action"), target.cast("string").alias("target"), F.lit(who).alias("actor"), at.alias("at")]
+
+
+def statement_audit(statement: Column, who: str, rows: Column, milliseconds: Column, error: Column) -> list[Column]:
+    """The columns of an audit row for a statement that ran or failed: its first 200 characters, and why it failed."""
+    return [
+        F.lit(who).alias("actor"), F.substring(statement, 1, 200).alias("statement"), F.when(error.isNull(), "ok").otherwise("failed").alias("outcome"),
+        F.when(error.isNull(), rows).cast("long").alias("n_rows"), milliseconds.cast("long").alias("ms"), F.substring(error, 1, 200).alias("error"),
+    ]

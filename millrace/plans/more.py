@@ -141,10 +141,10 @@ def arr01_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(roles.alias("roles"), F.count("*").alias("turns"))
 
 
-@query("etl16_examples", "SELECT item_id, 'Q: ' || substr(text, 1, 60) || e'\\nSQL: SELECT ' || item_id AS document FROM benchmark")
+@query("etl16_examples", "SELECT item_id, md5('Q: ' || text || e'\\nSQL: SELECT ' || item_id) AS document FROM benchmark")
 def etl16_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-16, SNK-17: example questions as documents of an index."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Q: "), F.substring("text", 1, 60), F.lit("\nSQL: SELECT "), F.col("item_id").cast("string")).alias("document"))
+    """SNK-16, SNK-17: example questions as documents of an index, by their hashes."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.concat(F.lit("Q: "), "text", F.lit("\nSQL: SELECT "), F.col("item_id").cast("string"))).alias("document"))
 
 
 @query("cms07_rollback", "SELECT doc_id, CASE WHEN source = 'src1' THEN CASE WHEN doc_id = (SELECT min(doc_id) FROM documents WHERE source = 'src1') THEN 'active' ELSE 'deprecated' END ELSE 'active' END AS status FROM documents")

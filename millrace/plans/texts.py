@@ -75,10 +75,10 @@ def etl10_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_markdown(pages, "page_id", "md")
 
 
-@query("etl08_headers", "SELECT doc_id, '[' || source || ' | p.' || doc_id || e']\n' || substr(text, 1, 20) AS headed FROM documents")
+@query("etl08_headers", "SELECT doc_id, md5('[' || source || ' | p.' || doc_id || e']\n' || text) AS headed FROM documents")
 def etl08_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = text.header(F.col("source"), F.col("doc_id").cast("string"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.substring("text", 1, 20)).alias("headed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(head, "text")).alias("headed"))
 
 
 @query(

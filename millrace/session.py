@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+LOG = logging.getLogger("millrace")
+
 #: The tables that the driver provides.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -33,3 +42,33 @@ def register_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = T
     """Registers the tables of a directory as temporary views."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; in local mode, if none is set, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def timed(what: str, slow: float = 0.5) -> Iterator[dict[str, float]]:
+    """Logs how long a block of actions took, as a warning from `slow` seconds on, failed blocks too; the yielded dict gets "seconds"."""
+    began, out = time.perf_counter(), {}
+    try:
+        yield out
+    finally:
+        out["seconds"] = time.perf_counter() - began
+        LOG.log(logging.WARNING if out["seconds"] >= slow else logging.INFO, "%s took %.3f s", what, out["seconds"])
+
+
+def warm(df: DataFrame) -> DataFrame:
+    """The table, kept by the executors and read once, so that the first search needn't; what doesn't fit in memory goes to their disks."""
+    df = df.persist()
+    df.count()
+    return df

@@ -75,7 +75,7 @@ def changed_files(source: DataFrame, known: DataFrame) -> DataFrame:
 
 def sql_entries(files: DataFrame) -> DataFrame:
     """(path, entry, sql, tables) of the SELECT statements in SQL files (path, text), blocks parted by empty lines or `---`."""
-    blocks = files.select("path", F.posexplode(F.split("text", r"\n\s*\n\s*\n+|\n-{3,}\s*\n")).alias("entry", "sql")).withColumn("sql", F.trim("sql"))
+    blocks = files.select("path", F.posexplode(F.split("text", r"\n\s*\n\s*\n+|\n-{3,}\s*\n")).alias("entry", "sql")).withColumn("sql", F.btrim("sql", F.lit(" \t\r\n")))
     return blocks.where(F.col("sql").rlike(r"(?i)\bselect\b")).withColumn("tables", F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:from|join)\s+([\w.]+)"), F.lit(1)), F.upper)))
 
 

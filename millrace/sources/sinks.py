@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import IndexMissing
+
 
 def write_version(df: DataFrame, path: str, version: int, partition_by: list[str] | None = None) -> str:
     """Writes a whole new version beside the earlier ones and gives its path; readers of those are not disturbed."""
@@ -44,7 +46,7 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
             return df
         except Exception as e:
             error = e
-    raise FileNotFoundError(f"no readable version under {path}") from error
+    raise IndexMissing(f"no readable version under {path}") from error
 
 
 def append_log(df: DataFrame, path: str, limits: dict[str, int] | None = None) -> None:
