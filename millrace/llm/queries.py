@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding, langid, licenses, lm, mixing, mtree, packing, quality, simhash, urlfilter
+from millrace.llm import collocations, embedding, langid, licenses, lm, mixing, mtree, packing, quality, simhash, urlfilter
 from millrace.llm.common import crc_mod, cut, table
 
 
@@ -100,11 +100,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), max_n=3, min_count=10, covered=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run, "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash}
+    return {"pipeline": corpus_pipeline.run, "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash, "op11_collocations": op11_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op5_licenses": licenses.brute_sql(), "op7_urlfilter": OP7_SQL}
+    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op5_licenses": licenses.brute_sql(), "op7_urlfilter": OP7_SQL, "op11_collocations": collocations.SQL}
