@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import collocations, embedding, langid, licenses, lm, mixing, mtree, packing, quality, simhash, urlfilter
+from millrace.llm import chat, collocations, embedding, langid, licenses, lm, mixing, mtree, packing, quality, search, simhash, urlfilter
 from millrace.llm.common import crc_mod, cut, table
 
 
@@ -104,11 +104,22 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"), max_n=3, min_count=10, covered=50, top=2000)
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(chat.PLANTED).alias("text"))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.render(chat.fold(chat.turn_log(talks))))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.Index(table(spark, sf_dir, "documents"))
+    return index.top_k(table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run, "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash, "op11_collocations": op11_collocations}
+    return {"pipeline": corpus_pipeline.run, "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_mtree": op3_mtree, "op4_embedding": op4_embedding, "op5_licenses": op5_licenses, "op6_lm": op6_lm, "op7_urlfilter": op7_urlfilter, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_simhash": op10_simhash, "op11_collocations": op11_collocations, "op12_chat": op12_chat, "op13_search": op13_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op5_licenses": licenses.brute_sql(), "op7_urlfilter": OP7_SQL, "op11_collocations": collocations.SQL}
+    return {"op3_mtree": OP3_SQL, "op4_embedding": OP4_SQL, "op5_licenses": licenses.brute_sql(), "op7_urlfilter": OP7_SQL, "op11_collocations": collocations.SQL, "op12_chat": chat.SQL, "op13_search": search.SQL}
