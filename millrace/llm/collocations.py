@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than their parts do, by language.
 
-Every phrase of 1 to `max_n` words inside a piece of text is a row; rows are counted by language and phrase. Phrases of a length are counted in a job of
-their own, so only one length's rows are shuffled at a time, and of phrases of two words and more only those that reach `min_count` are written.
+Every phrase of 1 to `max_n` words inside a piece of text is a row; rows are counted by language and phrase. Words and pairs are counted in one job and each longer
+length in one of its own, so no more than that is shuffled at a time; of phrases of two words and more only those that reach `min_count` are written.
 """
 
 from __future__ import annotations
@@ -19,24 +19,36 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, all else as it is. Where lower() leaves what isn't ASCII alone, it is the fast way to this."""
+    rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    plain = (F.octet_length(text) == F.length(text)) | (F.lower(rest) == rest)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words): a row for each piece of a text between marks `[.,;:!?\\x0A-\\x0D]`, with its words `[^\\x20\\x09]+`, A-Z lower-cased; pieces without words are left out."""
-    part = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split("text", r"[.,;:!?\n-\r]")).alias("piece"))
-    ascii_only = F.octet_length("piece") == F.length("piece")
-    low = F.when(ascii_only, F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
-    return part.where(F.length(F.translate("piece", " \t", "")) > 0).select("lang", F.array_remove(F.split(low, r"[ \t]+"), "").alias("words"))
+    """(lang, words): a row for each piece of a text between marks `[.,;:!?\\x0A-\\x0D]`, with its words `[^\\x20\\x09]+`, A-Z lower-cased.
+
+    Outer explodes, as for others the optimizer adds a filter that splits every text a second time.
+    """
+    text = F.replace("text", F.lit("\t"), F.lit(" "))
+    part = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode_outer(F.split(text, r"[.,;:!?\n-\r]")).alias("piece")).where("piece is not null")
+    return part.select("lang", F.array_remove(F.split(lowered(F.col("piece")), " "), "").alias("words"))
 
 
 def phrases_of(words: Column, n: int) -> Column:
-    """All runs of n words, space-joined; the last n - 1 entries are null."""
-    rest = [F.slice(words, k + 1, F.size(words)) for k in range(1, n)]
-    return reduce(lambda run, nxt: F.zip_with(run, nxt, lambda a, b: F.concat(a, F.lit(" "), b)), rest, words)
+    """All runs of n words, space-joined."""
+    if n == 1:
+        return words
+    ahead = lambda i: [x for k in range(n - 1) for x in (F.get(words, i + k), F.lit(" "))]
+    return F.transform(F.slice(words, n, F.size(words)), lambda last, i: F.concat(*ahead(i), last))
 
 
-def counted(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """(lang, phrase, f) of all phrases of n words with f >= least."""
-    rows = pieces(docs).where(F.size("words") >= n).select("lang", F.explode(phrases_of(F.col("words"), n)).alias("phrase")).where("phrase is not null")
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+def counted(docs: DataFrame, lengths: tuple[int, ...], least: int) -> DataFrame:
+    """(lang, phrase, f) of all single words and of longer phrases with f >= least, of these lengths."""
+    every = F.concat(*(phrases_of(F.col("words"), n) for n in lengths))
+    rows = pieces(docs).select("lang", F.explode_outer(every).alias("phrase")).where("phrase is not null")
+    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -59,10 +71,9 @@ def mine(docs: DataFrame, max_n: int = 3, min_count: int = 10, covered: int = 50
     UTF-8 bytes. Null languages are `und`; null and empty texts have no words; texts that repeat count each time; texts of any length are cut into pieces
     before their phrases are listed. An empty table, or a language without frequent phrases, gives no rows.
     """
-    counts = [cut(counted(docs, n, 1 if n == 1 else min_count), f"phrases{n}") for n in range(1, max_n + 1)]
-    frequent = [c.where(F.col("f") >= min_count) for c in counts]
-    parts = reduce(DataFrame.unionByName, frequent[:-1])
-    words = reduce(DataFrame.unionByName, frequent[1:]).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
+    counts = [cut(counted(docs, lengths, min_count), "phrases") for lengths in [(1, 2), *((n,) for n in range(3, max_n + 1))]]
+    parts = reduce(DataFrame.unionByName, counts).where(F.col("f") >= min_count)
+    words = parts.where(F.contains("phrase", F.lit(" "))).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     size = F.size("words")
     split = words.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     split = split.select("lang", "phrase", "a", "k", _part(1, F.col("k")).alias("left"), _part(F.col("k") + 1, size).alias("right"))
@@ -78,7 +89,7 @@ def mine(docs: DataFrame, max_n: int = 3, min_count: int = 10, covered: int = 50
 
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = alone.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    totals = counts[0].groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = counts[0].where(~F.contains("phrase", F.lit(" "))).groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

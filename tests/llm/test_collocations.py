@@ -66,4 +66,10 @@ def test_exact_scores(spark):
 
 def test_only_frequent_phrases_are_written(spark):
     docs = spark.createDataFrame([("en", "rare pair"), *[("en", "often seen")] * 10], "lang string, text string")
-    assert [r.phrase for r in collocations.counted(docs, 2, 10).collect()] == ["often seen"]
+    assert sorted((r.phrase, r.f) for r in collocations.counted(docs, (1, 2), 10).collect()) == [("often", 10), ("often seen", 10), ("pair", 1), ("rare", 1), ("seen", 10)]
+
+
+def test_only_ascii_is_lowered(spark):
+    texts = ["ABC é", "É Abc", "Σ ΑΣ x", "İstanbul ŞI", "Ⅰ Ⓐ A", "ǅ Z", "plain", "日本 Z", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", collocations.lowered(F.col("t")).alias("low"))
+    assert all(r.low == "".join(c.lower() if "A" <= c <= "Z" else c for c in r.t) for r in df.collect())
