@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import retrieval
 from millrace.operators.embed import Encoder, embed
+from millrace.operators.inverted import InvertedIndex
 
 
 @dataclass(frozen=True)
@@ -43,10 +44,10 @@ def variants(questions: DataFrame, rewrites: list[Callable[[Column], Column]], n
     return questions.select("query_id", F.posexplode(kept).alias("variant", "text"))
 
 
-def search(docs: DataFrame, questions: DataFrame, mode: Mode, encoder: Encoder, scorer: Callable[[pd.Series, pd.Series], pd.Series], rewrites: list[Callable[[Column], Column]] = ()) -> DataFrame:
+def search(docs: DataFrame, questions: DataFrame, mode: Mode, encoder: Encoder, scorer: Callable[[pd.Series, pd.Series], pd.Series], rewrites: list[Callable[[Column], Column]] = (), index: InvertedIndex | None = None) -> DataFrame:
     """query_id, rank, id, text and source of each question's best hits.
 
-    docs: doc_id, text, source, embedding. Hits of a question's variants come in order of variant and rank, those with equal first
+    docs: doc_id, text, source, embedding. Keywords are looked up in `index`, or in one that is built for this search. Hits of a question's variants come in order of variant and rank, those with equal first
     HEAD characters once, GATHERED at most. Empty questions have no hits.
     """
     asked = questions.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
@@ -55,7 +56,7 @@ def search(docs: DataFrame, questions: DataFrame, mode: Mode, encoder: Encoder,
     vectors = embed(as_queries, "text", encoder, "vector")
     hits = retrieval.vector_search(docs, vectors, mode.hits, "doc_id").select("query_id", "id", "rank")
     if mode.keywords:
-        hits = retrieval.fuse([hits, retrieval.bm25(docs, as_queries, 20).select("query_id", "id", "rank")], mode.hits)
+        hits = retrieval.fuse([hits, (index or InvertedIndex.build(docs)).search(as_queries, 20).select("query_id", "id", "rank")], mode.hits)
     found = hits.select(F.col("query_id").alias("form_id"), "id", F.col("rank").alias("form_rank")).join(forms.select("form_id", "query_id", "variant"), "form_id")
     found = found.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
     first = found.groupBy("query_id", F.substring("text", 1, HEAD).alias("head")).agg(F.min(F.struct("variant", "form_rank", "id", "text", "source")).alias("h"))

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import tokens
+from millrace.operators.inverted import InvertedIndex, Weights
 
 #: Queries of one block, and of the largest set that goes to every task as it is; vectors of a shard, about.
 QUERY_BLOCK, SENT_QUERIES, SHARD = 512, 2048, 8192
-#: Pairs that are compared exactly at once; terms of questions, at most, that go to every task.
-EXACT_PAIRS, SENT_TERMS = 100_000, 100_000
+#: Pairs that are compared exactly at once.
+EXACT_PAIRS = 100_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -97,43 +97,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return per_task.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def bm25_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, df) of all terms, and one row of n, avgdl and the terms' mean idf; documents without terms count in n.
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, rank, id and score of each query's k best documents (all: None), by an index that is built for this search; ties to the smaller id.
 
-    Both come from one aggregation, in which the empty term stands for every document.
+    Terms that a query repeats count as often. For more than one search, build an `InvertedIndex` and keep it.
     """
-    terms = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    each = docs.select(F.size(terms).alias("dl"), F.explode(F.array_append(F.array_distinct(terms), "")).alias("term"))
-    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
-    size = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    df = counts.where("term <> ''").select("term", "df")
-    mean = df.crossJoin(F.broadcast(size)).groupBy("n", "avgdl").agg(F.avg(_idf()).alias("mean_idf"))  # one row each
-    return df, mean
-
-
-def _idf() -> Column:
-    return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, rank, id and score of each query's k best documents with a positive score; ties to the smaller id.
-
-    idf = ln((n - df + 0.5) / (df + 0.5)); where that is negative it is epsilon times the mean idf of all terms. Terms that a
-    query repeats count as often. Of the documents' terms only those that are asked for are shuffled by document.
-    """
-    df, size = bm25_terms(docs, text_col)
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
-    few = wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS
-    weights = df.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").crossJoin(F.broadcast(size))
-    weights = weights.select("term", "avgdl", F.when(_idf() < 0, F.col("mean_idf") * epsilon).otherwise(_idf()).alias("idf"))
-    every = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = every.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    hits = postings.join(F.broadcast(weights) if few else weights, "term").join(asked, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return InvertedIndex.build(docs, None, id_col, text_col).search(queries, k, Weights(k1, b, epsilon))
 
 
 def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:

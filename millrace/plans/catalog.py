@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules whose import registers the queries."""
-    from millrace.plans import joins, more, relational, services, stores, texts  # noqa: F401
+    from millrace.plans import indexes, joins, more, relational, services, stores, texts  # noqa: F401

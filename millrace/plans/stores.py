@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import IndexMissing
 from millrace.operators import governance, lifecycle
 from millrace.plans.catalog import query
 from millrace.session import scratch, table
@@ -96,22 +97,45 @@ def snk01_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk03_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-03, SRC-34, SRC-35: an index built from one part of the documents, to which the other part is appended."""
     path, docs = scratch(spark, "index"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    target = sinks.write_version(docs.where("doc_id % 3 <> 0"), path, 1)
-    docs.where("doc_id % 3 = 0").write.mode("append").parquet(target)
+    sinks.write_version(docs.where("doc_id % 3 <> 0"), path, 1)
+    sinks.append_version(docs.where("doc_id % 3 = 0"), path, 1)
     return sinks.latest(spark, path).select("doc_id", F.md5("text").alias("h"))
 
 
 @query("snk06_fallback", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
 def snk06_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-06: of three versions the newest is damaged, so readers get the one before."""
+    """SNK-06, SNK-02: of three versions the newest has its last file cut short, so readers get the one before; its other files are whole."""
     path, rows = scratch(spark, "fallback"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     sinks.write_version(rows, path, 1)
     sinks.write_version(rows.where("c_custkey % 2 = 0"), path, 2)
-    rows.select(F.col("c_name").alias("value")).write.text(f"{path}/version=3")
-    spark.range(1).select(F.lit("no table").alias("value")).write.mode("append").option("compression", "none").text(f"{path}/version=3")
+    sinks.write_version(rows.repartitionByRange(4, "c_custkey"), path, 3)
+    sinks.shorten_last_file(spark, f"{path}/version=3")
     return sinks.latest(spark, path)
 
 
+@query(
+    "snk10_restore",
+    """SELECT 'current' AS step, 3 AS version, count(*) AS n, sum(c_custkey) AS keys FROM customer UNION ALL SELECT 'restored', 1, count(*), sum(c_custkey) FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'refused', 1, count(*), sum(c_custkey) FROM customer WHERE c_custkey % 3 = 0""",
+)
+def snk10_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10: an earlier version made current; then another one that a lost file has spoilt, which is refused and changes nothing."""
+    path, rows = scratch(spark, "restore"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    sinks.write_version(rows.where("c_custkey % 3 = 0"), path, 1)
+    sinks.write_version(rows.where("c_custkey % 3 = 1").repartition(3), path, 2)
+    sinks.write_version(rows, path, 3)
+    shown = lambda step: sinks.latest(spark, path).agg(F.lit(step).alias("step"), F.lit(sinks.current(spark, path)).alias("version"), F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+    out = shown("current")
+    sinks.restore(spark, path, 1)
+    out = out.unionByName(shown("restored"))
+    sinks.shorten_last_file(spark, f"{path}/version=2")
+    try:
+        sinks.restore(spark, path, 2)
+    except IndexMissing:
+        out = out.unionByName(shown("refused"))
+    return out
+
+
 @query("snk07_feedback_log", "SELECT doc_id, md5(substr(text, 1, 2000)) AS question, md5(substr(text, 1, 5000)) AS answer FROM documents")
 def snk07_feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-07: questions of at most 2000 and answers of at most 5000 characters, which is the log's feature."""

@@ -252,7 +252,7 @@ def ret05_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also JOIN-15, RET-06 and MTH-03: two rankings by reciprocal ranks."""
     from pyspark.sql import Window
 
-    all_hits = retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), 1 << 30)
+    all_hits = retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), None)
     other = all_hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("id") % 97, "id"))).where("rank <= 20")
     return retrieval.fuse([all_hits.where("rank <= 20"), other], 10)
 

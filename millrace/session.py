@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import tempfile
 import time
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 LOG = logging.getLogger("millrace")
 
@@ -56,6 +58,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a new path of the shared folder and read back: computed once, without lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_folders(df: DataFrame, path: str, by: str) -> None:
+    """`df` in folders by a column, with its schema beside them, so that an empty table can be read as well."""
+    df.write.partitionBy(by).parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{path}/schema")
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first().value))
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt to all cores if it has fewer partitions than these, as a small file has; large tables stay as they are. For heavy work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def timed(what: str, slow: float = 0.5) -> Iterator[dict[str, float]]:
     """Logs how long a block of actions took, as a warning from `slow` seconds on, failed blocks too; the yielded dict gets "seconds"."""

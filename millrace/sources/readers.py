@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, newest: str | None = None) -> DataFrame:
@@ -44,18 +43,26 @@ def binaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
 
-def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page, text, error) of every page that an extractor finds; a file that fails is a row with its error, not a failed job."""
+def extracted(files: DataFrame, extract: Callable[[bytes], Iterable[str]]) -> DataFrame:
+    """(path, page, text, error) of every page that an extractor yields, blank ones left out.
 
-    def run(content: bytes) -> dict:
-        try:
-            return {"pages": list(extract(bytes(content))), "error": None}
-        except Exception as e:
-            return {"pages": [], "error": f"{type(e).__name__}: {e}"}
+    A table function joined laterally: pages leave a task one by one, so a long file needs no more memory than its content and one page. Where an extractor fails,
+    the pages before the fault stay, and a row with the error and the page's number follows; the job goes on.
+    """
 
-    out = F.udf(run, T.StructType([T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
-    done = files.select("path", out("content").alias("x")).withColumn("error", F.col("x.error"))
-    return done.select("path", "error", F.posexplode_outer("x.pages").alias("page", "text")).where(F.col("error").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) != "")).select("path", "page", "text", "error")
+    @F.udtf(returnType="page int, text string, error string")
+    class Pages:
+        def eval(self, content: bytes):
+            page = 0
+            try:
+                for text in extract(bytes(content)):
+                    yield page, text, None
+                    page += 1
+            except Exception as e:
+                yield page, None, f"{type(e).__name__}: {e}"
+
+    pages = files.lateralJoin(Pages(F.col("content").outer())).select("path", "page", "text", "error")
+    return pages.where(F.col("error").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) != ""))
 
 
 def longer_extraction(first: DataFrame, second: DataFrame, factor: float = 1.1) -> DataFrame:
@@ -79,9 +86,39 @@ def sql_entries(files: DataFrame) -> DataFrame:
     return blocks.where(F.col("sql").rlike(r"(?i)\bselect\b")).withColumn("tables", F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:from|join)\s+([\w.]+)"), F.lit(1)), F.upper)))
 
 
-def jdbc(spark: SparkSession, url: str, query: str, seconds: int = 30, **options: str) -> DataFrame:
-    """Rows of a query on a database, with a time limit; credentials and drivers come from `options`."""
-    return spark.read.format("jdbc").options(url=url, query=query, queryTimeout=str(seconds), **options).load()
+def jdbc(spark: SparkSession, url: str, source: str, column: str | None = None, parts: int = 8, seconds: int = 30, **options: str) -> DataFrame:
+    """Rows of a table, or of a SELECT, on a database; drivers and credentials come from `options`, `seconds` limits each statement.
+
+    With a numeric or date `column` the rows are read in `parts` ranges of it, each by a task and connection of its own; the database gives the bounds, and
+    null goes with the first range. Spark sends filters and the columns that are needed along with either kind of source.
+    """
+    chosen = f"({source}) wanted" if source.lstrip().upper().startswith(("SELECT", "WITH")) else source
+    read = lambda **more: spark.read.format("jdbc").options(url=url, queryTimeout=str(seconds), **options, **more).load()
+    if column is None:
+        return read(dbtable=chosen)
+    low, high = read(dbtable=chosen).agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return read(dbtable=chosen)
+    return read(dbtable=chosen, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+
+
+def jdbc_columns(spark: SparkSession, url: str, schema: str | None = None, tables: str = "%", **options: str) -> DataFrame:
+    """(schema, table, position, column, type, size, nullable) of a database's tables, from the driver's own catalog calls, which every database answers.
+
+    `tables` is a pattern as in LIKE. A catalog is small; it is read by the driver over one connection.
+    """
+    jvm = spark.sparkContext._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in options.items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        found, rows = connection.getMetaData().getColumns(None, schema, tables, "%"), []
+        while found.next():
+            rows.append((found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME"), found.getInt("ORDINAL_POSITION"), found.getString("COLUMN_NAME"), found.getString("TYPE_NAME"), found.getInt("COLUMN_SIZE"), found.getInt("NULLABLE") != 0))
+    finally:
+        connection.close()
+    return spark.createDataFrame(rows, "schema string, table string, position int, column string, type string, size int, nullable boolean")
 
 
 class NamedQueries:
