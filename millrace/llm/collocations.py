@@ -17,6 +17,7 @@ from millrace.llm.common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Scores are in millionths.
 SCALE = 1_000_000
+FIRST_MAP = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 
 
 def lowered(text: Column) -> Column:
@@ -29,26 +30,44 @@ def lowered(text: Column) -> Column:
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, words): a row for each piece of a text between marks `[.,;:!?\\x0A-\\x0D]`, with its words `[^\\x20\\x09]+`, A-Z lower-cased.
 
-    Outer explodes, as for others the optimizer adds a filter that splits every text a second time.
+    Outer explodes, as for others the optimizer adds a filter that splits every text a second time. A text of ASCII is lower-cased as a whole, others piece by piece.
     """
     text = F.replace("text", F.lit("\t"), F.lit(" "))
-    part = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode_outer(F.split(text, r"[.,;:!?\n-\r]")).alias("piece")).where("piece is not null")
-    return part.select("lang", F.array_remove(F.split(lowered(F.col("piece")), " "), "").alias("words"))
+    ascii_only = F.octet_length("text") == F.length("text")
+    low = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), ascii_only.alias("done"), F.when(ascii_only, F.lower(text)).otherwise(text).alias("text"))
+    part = low.select("lang", "done", F.explode_outer(F.split("text", r"[.,;:!?\n-\r]")).alias("piece")).where("piece is not null")
+    piece = F.when(F.col("done"), F.col("piece")).otherwise(lowered(F.col("piece")))
+    return part.select("lang", F.array_remove(F.split(piece, " "), "").alias("words"))
 
 
-def phrases_of(words: Column, n: int) -> Column:
-    """All runs of n words, space-joined."""
-    if n == 1:
-        return words
+def phrases_of(words: Column, n: int, end: Column) -> Column:
+    """All runs of n words, space-joined, each with `end` behind it."""
     ahead = lambda i: [x for k in range(n - 1) for x in (F.get(words, i + k), F.lit(" "))]
-    return F.transform(F.slice(words, n, F.size(words)), lambda last, i: F.concat(*ahead(i), last))
+    return F.transform(F.slice(words, n, F.size(words)), lambda last, i: F.concat(*ahead(i), last, end))
 
 
 def counted(docs: DataFrame, lengths: tuple[int, ...], least: int) -> DataFrame:
-    """(lang, phrase, f) of all single words and of longer phrases with f >= least, of these lengths."""
-    every = F.concat(*(phrases_of(F.col("words"), n) for n in lengths))
-    rows = pieces(docs).select("lang", F.explode_outer(every).alias("phrase")).where("phrase is not null")
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
+    """(lang, phrase, f) of all single words and of longer phrases with f >= least, of these lengths.
+
+    Rows are counted by one key, phrase and language with a line end between them, which no phrase has: one string is cheaper to hash, compare and shuffle than two.
+    """
+    end = F.concat(F.lit("\n"), F.col("lang"))
+    every = F.concat(*(phrases_of(F.col("words"), n, end) for n in lengths))
+    rows = pieces(docs).select(F.explode_outer(every).alias("key")).where("key is not null")
+    counts = rows.groupBy("key").agg(F.count("*").alias("f")).withColumn("phrase", F.substring_index("key", "\n", 1))
+    frequent = counts.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
+    return frequent.select(F.substr("key", F.length("phrase") + 2).alias("lang"), "phrase", "f")
+
+
+def written(docs: DataFrame, lengths: tuple[int, ...], least: int) -> DataFrame:
+    """`counted` as a table. Spark's small first map of an aggregation only costs time where most keys are new, so it is off meanwhile."""
+    spark = docs.sparkSession
+    before = spark.conf.get(FIRST_MAP)
+    spark.conf.set(FIRST_MAP, "false")
+    try:
+        return cut(counted(docs, lengths, least), "phrases")
+    finally:
+        spark.conf.set(FIRST_MAP, before)
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -71,7 +90,7 @@ def mine(docs: DataFrame, max_n: int = 3, min_count: int = 10, covered: int = 50
     UTF-8 bytes. Null languages are `und`; null and empty texts have no words; texts that repeat count each time; texts of any length are cut into pieces
     before their phrases are listed. An empty table, or a language without frequent phrases, gives no rows.
     """
-    counts = [cut(counted(docs, lengths, min_count), "phrases") for lengths in [(1, 2), *((n,) for n in range(3, max_n + 1))]]
+    counts = [written(docs, lengths, min_count) for lengths in [(1, 2), *((n,) for n in range(3, max_n + 1))]]
     parts = reduce(DataFrame.unionByName, counts).where(F.col("f") >= min_count)
     words = parts.where(F.contains("phrase", F.lit(" "))).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     size = F.size("words")
