@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
 
-#: Rules, at most: the filters grow with their number and with the logarithm of the number of keys.
-MAX_RULES = 10_000_000
+#: Rules, at most, as they are values in the plan; tested up to 2000.
+MAX_RULES = 10_000
 #: Share of foreign keys that a level after the first takes for its own.
 LEVEL_ERROR = 0.5
 
@@ -137,6 +137,8 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_co
         flat = in_cascade(levels, np.concatenate(h1.to_numpy()).astype(np.int64), np.concatenate(h2.to_numpy()).astype(np.int64))
         return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]))
 
+    # a filter on the result would be pushed down to where the cascade can't be evaluated, if Spark took it for deterministic
+    listed = listed.asNondeterministic()
     hashes = [F.transform("keys", lambda k: _hashes(k)[0]), F.transform("keys", lambda k: _hashes(k)[1])]
     tested = keyed.withColumn("hit", listed(*hashes))
     fitting = F.transform(F.filter(F.arrays_zip("keys", "hit"), lambda x: x["hit"]), lambda x: F.struct(F.length(x["keys"]).alias("n"), x["keys"].alias("key")))

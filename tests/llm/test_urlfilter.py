@@ -41,3 +41,12 @@ def test_cascade_is_exact(spark):
     pdf = universe.toPandas()
     listed = urlfilter.in_cascade(levels, pdf.h1.to_numpy(), pdf.h2.to_numpy())
     assert len(levels) > 2 and set(pdf.key[np.flatnonzero(listed)]) == set(rules)
+
+
+def test_the_result_can_be_filtered(spark, sf_dir):
+    rows = queries.op7_urlfilter(spark, sf_dir).collect()
+    want = sum(r.rule is not None for r in rows), sum(r.verdict == "block" for r in rows)
+    assert min(want) > 0
+    for _ in range(5):
+        out = queries.op7_urlfilter(spark, sf_dir)
+        assert (out.where("rule is not null").count(), out.where("verdict = 'block'").count()) == want
