@@ -107,6 +107,7 @@ FREE_TEXT = (
     (r"\bPT\d{7}\b", "[PATIENT_ID]"),
     (r"\b01[016789]-?\d{3,4}-?\d{4}\b", "[PHONE]"),
     (r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (r"환자[가-힣]{2,4}", "[PATIENT_NAME]"),
 )
 
 

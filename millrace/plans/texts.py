@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import coerce, masking, text
 from millrace.operators import chunking, embed, modes, retrieval
 from millrace.plans.catalog import query
-from millrace.session import table
+from millrace.session import spread, table
 
 
 @query("str01_half_width", "SELECT n_nationkey, n_name AS plain, 'A1! ' || n_name AS half FROM nation")
@@ -28,12 +28,68 @@ def str05_even_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("etl01_clean")
 def etl01_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also STR-03, STR-04, ETL-02..04: cleaned, scored and flagged; short or poor texts are left out. Lookarounds are beyond DuckDB."""
-    # Through explode, so that filters and scores use the cleaned text instead of cleaning it once for each use.
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(text.clean(F.col("text")))).alias("text"))
-    scored = cleaned.withColumn("quality", text.quality(F.col("text"))).withColumn("noise", text.is_contents(F.col("text")) | text.is_revisions(F.col("text")))
+    """Also STR-03, STR-04, ETL-04: cleaned, scored and flagged; short or poor texts are left out."""
+    # Through explode, so that what follows uses the cleaned text and its score instead of working them out for each use.
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = docs.select("doc_id", F.explode(F.array(text.clean(F.col("text")))).alias("text"))
+    scored = cleaned.select("doc_id", "text", F.explode(F.array(text.quality(F.col("text")))).alias("quality"))
     long = F.length("text")
-    return scored.where((long >= 50) & ~((long > 100) & (F.col("quality") < 0.1)))
+    kept = scored.where((long >= 50) & ~((long > 100) & (F.col("quality") < 0.1)))
+    return kept.withColumn("noise", text.is_contents(F.col("text")) | text.is_revisions(F.col("text")))
+
+
+@query(
+    "str03_idle_lines",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 5 THEN '' WHEN o_orderkey % 8 = 5 THEN 'Page ' || o_orderkey || ' of' WHEN o_orderkey % 8 = 6 THEN o_orderkey || '/' || o_custkey || '/1' ELSE '- ' || o_orderkey END || e'\n본문' AS text FROM orders""",
+)
+def str03_idle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: page numbers in several dresses, date lines and approval boxes go; lines that only look like them stay."""
+    key, other = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    dresses = (
+        F.concat(F.lit("- "), key, F.lit(" –")), F.concat(F.lit("  "), key, F.lit(" / "), other), F.concat(F.lit("Page "), key, F.lit("  of "), other), F.date_format("o_orderdate", "yyyy년 M월 d일"),
+        F.concat(F.lit("담당 "), key, F.lit(" 팀장\n- 1 -")), F.concat(F.lit("Page "), key, F.lit(" of")), F.concat(key, F.lit("/"), other, F.lit("/1")), F.concat(F.lit("- "), key))
+    line = F.element_at(F.array(*dresses), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.without_headers(F.concat(line, F.lit("\n본문"))).alias("text"))
+
+
+@query(
+    "str04_joined_words",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '규정집' WHEN 1 THEN lower(substr(p_name, 1, 1)) || 'ple' WHEN 2 THEN e'규-\nple' ELSE p_partkey || e'-\n9' END || ' well-known' AS text FROM part""",
+)
+def str04_joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-04: halves of one script are joined over a line's end; of two scripts, or numbers, not."""
+    key, gap = F.col("p_partkey"), F.lit("-  \n ")
+    halves = F.when(key % 4 == 0, F.concat(F.lit("규정"), gap, F.lit("집"))).when(key % 4 == 1, F.concat(F.lower(F.substring("p_name", 1, 1)), gap, F.lit("ple"))).when(key % 4 == 2, F.lit("규-\nple")).otherwise(F.concat(key.cast("string"), F.lit("-\n9")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.joined_words(F.concat(halves, F.lit(" well-known"))).alias("text"))
+
+
+@query(
+    "etl02_noise_pages",
+    "SELECT doc_id, doc_id % 6 IN (0, 1) AS contents, doc_id % 6 = 3 AS revisions FROM documents",
+)
+def etl02_noise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETL-02, ETL-03: each document as a page of contents in two languages, as one with too few entries, of revisions, of revisions with an article, or as it is."""
+    key = F.col("doc_id").cast("string")
+    entries = F.concat_ws("\n", *(F.concat(F.lit(f"{i} ....... "), key, F.lit(" ")) for i in range(3)))
+    heads = (F.concat(F.lit("목  차\n"), entries), F.concat(F.lit("Contents\n"), entries), F.concat(F.lit("차례\n가 ... "), key), F.concat(F.lit("개정 이력 "), key), F.concat(F.lit("개정 이력 제 "), key, F.lit(" 조")), F.lit("글"))
+    page = F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "0123456789.", ""))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(page)).alias("page"))
+    return pages.select("doc_id", text.is_contents(F.col("page")).alias("contents"), text.is_revisions(F.col("page")).alias("revisions"))
+
+
+@query(
+    "etl06_regulations",
+    """SELECT o_orderkey, '제' || o_orderkey || '조, 제' || (o_orderkey + 1) || '조, 제' || (o_orderkey + 2) || '조' AS article, o_orderstatus || ' 제도 (상' AS article_title, '제' || o_custkey || '장' AS chapter, '총칙 ' || o_orderstatus AS chapter_title,
+    '제2절' AS section, strftime(o_orderdate, '%Y.%m.%d') || ',1999.01.09' AS dates FROM orders""",
+)
+def etl06_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-06, ETL-06: a regulation for each order, with a chapter, a section, four articles, a title that holds the word for numbered parts and ends at the first closing bracket, and dates of events and others."""
+    key = lambda n: (F.col("o_orderkey") + n).cast("string")
+    rule = F.concat(
+        F.lit("규정 2001.1.1\n제 "), F.col("o_custkey").cast("string"), F.lit("장  총칙 "), "o_orderstatus", F.lit(". 뒤\n제2절 범위\n제"), key(0), F.lit("조 （"), "o_orderstatus", F.lit(" 제도 (상)） 개정일 "), F.date_format("o_orderdate", "yyyy년 M월 d일"),
+        F.lit("\n제"), key(1), F.lit("조(둘) 시행: 1999. 1. 9\n제"), key(2), F.lit("조 공포 99.1.1\n제"), key(3), F.lit("조 끝 발효 2020.2.2 제안"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(text.structure(rule))).alias("s"))
+    return found.select("o_orderkey", "s.article", "s.article_title", "s.chapter", "s.chapter_title", "s.section", F.array_join("s.dates", ",").alias("dates"))
 
 
 @query(
@@ -210,6 +266,19 @@ def pii16_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", masking.mask_text(F.col("text")).alias("masked"))
 
 
+@query(
+    "pii16_patient_names",
+    """SELECT c_custkey, '[PATIENT_NAME] ' || CASE c_custkey % 3 WHEN 0 THEN '[PATIENT_ID]' WHEN 1 THEN '[PHONE]' ELSE '[RRN]' END || ', 환자 ' || c_name || ' 환자A' AS masked FROM customer""",
+)
+def pii16_patient_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PII-16: names behind the word for a patient, of two to four syllables, with numbers of three kinds; a blank or another script ends the rule."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("환자"), F.element_at(F.array(*map(F.lit, ("홍길", "홍길동", "남궁홍길"))), (key % 3 + 1).cast("int")))
+    digits = F.lpad(key.cast("string"), 7, "0")
+    number = F.when(key % 3 == 0, F.concat(F.lit("PT"), digits)).when(key % 3 == 1, F.concat(F.lit("010-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 4, 4))).otherwise(F.concat(F.lit("900101-2"), F.substring(digits, 2, 6)))
+    return table(spark, sf_dir, "customer").select("c_custkey", masking.mask_text(F.concat(name, F.lit(" "), number, F.lit(", 환자 "), "c_name", F.lit(" 환자A"))).alias("masked"))
+
+
 @query(
     "ret01_vector_search",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
