@@ -1,14 +1,15 @@
 """The corpus pipeline: language ID, quality, near-duplicates, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
-again as the next one's docs. All but the last return the columns of `documents`, and further columns that docs has, whatever their names.
-Ids may be null or repeat: a row is told apart by its id and a hash of all its columns. An empty table gives an empty one at every stage.
+again as the next one's docs. All but the last return the columns of `documents`, and further columns that docs has, whatever their names and types.
+Ids may be null or repeat: a row is told apart by its id and a hash of all its columns. Texts of any length are one document. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import copies, langid, mixing, packing, quality
 from millrace.llm.common import crc_mod, cut, table
@@ -32,15 +33,26 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, quality.fit(docs, labels))
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def hashable(field: T.StructField) -> Column:
+    """A column as what Spark hashes; it doesn't hash maps and variants, which stand as JSON."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(named(field.name).alias("v"))) if "map<" in kind or "variant" in kind else named(field.name)
+
+
 def key_of(docs: DataFrame) -> Column:
     """What tells rows apart, in the order in which they are preferred: rows with an id, the smallest id, then a hash of 128 bits of the row."""
-    none, columns = F.col("doc_id").isNull(), [F.col(f"`{c}`") for c in docs.columns]
+    none, columns = F.col("doc_id").isNull(), [hashable(f) for f in docs.schema.fields]
     return F.struct(none.alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("2"), *columns).alias("h2"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, row, doc_id, text, source): the row's columns as one, so that no name of theirs clashes."""
-    return docs.select(key_of(docs).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    return docs.select(key_of(docs).alias("key"), F.struct(*map(named, docs.columns)).alias("row"), "doc_id", "text", "source")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

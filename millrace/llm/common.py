@@ -67,6 +67,12 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`map_texts` by a function that only leaves rows out; columns keep their places, names of any signs and types."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return map_texts(plain, fn, plain.schema).toDF(*df.columns)
+
+
 def crc_mod(column: str, m: int) -> Column:
     """crc32 of the value as text, modulo m; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)

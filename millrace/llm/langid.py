@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts
+from millrace.llm.common import map_rows, map_texts
 
 #: Documents of each language, about, that the classifiers are fitted on.
 FIT_ROWS = 2_000
@@ -185,4 +185,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 langs, _, ambiguous = model.predict(part.column(at_text).to_pylist())
                 yield part.filter(pa.array([lang != "und" and not a for lang, a in zip(langs, ambiguous)], pa.bool_()))
 
-    return map_texts(docs, run, docs.schema)
+    return map_rows(docs, run)

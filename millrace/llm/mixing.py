@@ -69,14 +69,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
 
     `taken` is a multiple of the row's size: the complete epochs, and one more if the row is in the weighted sample. The
     row at which the sample reaches its target is in it if that comes nearer to the target. Keys come from a
-    hash of id and text, so reruns agree, whatever the partitions; rows equal in both get equal keys and, being of one
-    size, any of them may be taken first. Null texts have no words and are never taken; null sources are one source.
+    hash of id and text, so reruns agree, whatever the partitions; rows equal in both get equal keys, are of one size and go by a
+    hash of what they carry. Other columns don't matter, whatever their names. Null texts have no words and are never taken; null sources are one source.
     Very long texts are one document like any other. An empty table gives an empty one.
     """
     unit = (F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit(""))))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     drawn = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.struct(*carry, F.lit(0).alias("_")).alias("carried"), word_count(text_col).alias("size"), (-F.log(unit) / quality_weight(text_col)).alias("key"))
-    # What parts rows of equal keys, in whatever order they are written.
-    drawn = cut(drawn.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "drawn")
+    # Rows of equal keys are in the order of what they carry, so reruns agree; those that carry the same are alike and only have to be parted.
+    drawn = cut(drawn.withColumns({"other": F.xxhash64("carried"), "tie": F.xxhash64(F.monotonically_increasing_id())}), "drawn")
     totals = drawn.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     planned = targets(totals, budget, weights).select(F.col("source").alias("of"), F.col("size").alias("source_size"), "n", "target")
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     hint = (lambda df: F.broadcast(df)) if sums.sources <= BROADCAST_SOURCES else (lambda df: df.hint("merge"))
 
     ranges = max(1, -(-sums["rows"] // RANGE_ROWS))
-    ranged = cut(drawn.repartitionByRange(ranges, "source", "key", "tie").withColumn("range", F.spark_partition_id()), "ranged")
+    ranged = cut(drawn.repartitionByRange(ranges, "source", "key", "other", "tie").withColumn("range", F.spark_partition_id()), "ranged")
     drop(drawn)
     by_range = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     up_to = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     crossing = cut(crossing.select(F.col("source").alias("at_source"), F.col("range").alias("at"), "before"), "crossing")
 
     with_plan = ranged.join(hint(planned.drop("n")), F.col("source").eqNullSafe(F.col("of"))).join(hint(crossing), F.col("source").eqNullSafe(F.col("at_source")), "left")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "other", "tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = with_plan.where(F.col("range") == F.col("at")).withColumn("sum", F.col("before") + F.sum("size").over(order))
     over, under = F.col("sum") - F.col("rest"), F.col("rest") - (F.col("sum") - F.col("size"))
     inside = (F.col("sum") <= F.col("rest")) | ((under > 0) & (over < under))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts
+from millrace.llm.common import map_rows, map_texts
 
 #: Labelled documents, about, that the classifier is fitted on.
 FIT_ROWS = 20_000
@@ -146,4 +146,4 @@ def keep(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFr
                 x = np.array([statistics(t.as_py()) for t in b.column(names.index("text"))])
                 yield b.filter(pa.array(model.scores(x) >= threshold))
 
-    return map_texts(docs, run, docs.schema)
+    return map_rows(docs, run)
