@@ -47,3 +47,21 @@ def pending(chunks: DataFrame) -> DataFrame:
 def precision_at(scores: Column, least: float = 0.1) -> Column:
     """The share of scores that reach a limit; null without scores."""
     return F.try_divide(F.size(F.filter(scores, lambda s: s >= least)).cast("double"), F.size(scores))
+
+
+VECTORS = "key string, vector array<float>"
+
+
+def remembered(df: DataFrame, text: str, encoder: Encoder, store: str, out: str = "embedding", batch: int = 256) -> DataFrame:
+    """`df` with the embedding of a text column, of which only texts that `store` hasn't seen yet are encoded; these are added to it.
+
+    `store` is a folder of vectors by a hash of the text; one for each encoder. Null texts count as empty. Two calls at once may both add a text, which does no harm.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    wanted = df.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["key"])
+    spark.createDataFrame([], VECTORS).write.mode("append").parquet(store)  # so that there is a table
+    fresh = wanted.join(spark.read.schema(VECTORS).parquet(store), "key", "left_anti")
+    embed(fresh, "text", encoder, "vector", batch).select("key", "vector").write.mode("append").parquet(store)
+    known = spark.read.schema(VECTORS).parquet(store).dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("vector").alias(out))
+    return df.join(known, key == F.col("_key")).drop("_key")

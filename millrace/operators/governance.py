@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.errors import StatementError
 from millrace.functions.masking import mask_frame
@@ -98,3 +99,106 @@ def schema_text(spark: SparkSession, tables: list[str], descriptions: dict[str,
         rows = "\n".join(f"- {f.name} ({f.dataType.simpleString()})" + (f": {d}" if (d := (descriptions or {}).get(f"{name}.{f.name}")) else "") for f in fields)
         parts.append(f"## {name}\n{rows}")
     return "\n\n".join(parts)[:most]
+
+
+@dataclass(frozen=True)
+class Review:
+    """What becomes of a statement before it runs: `ok`; `corrected`, with the statement to run instead; or `rejected`, with a proposal where there is one."""
+
+    verdict: str
+    reason: str = ""
+    proposal: str = ""
+
+
+#: Names that differ in so many letters at most are proposed for each other.
+NEAR = 3
+COMPARISONS = ("EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "In", "InSet")
+TRUNCATIONS = ("TruncDate", "TruncTimestamp")
+DAYS = ("date", "timestamp", "timestamp_ntz")
+
+
+def nearest_name(spark: SparkSession, name: str, names: set[str], most: int = NEAR) -> str | None:
+    """Of `names` the one that takes the fewest changes of letters to become `name`, `most` at most; of equals the first in order. Spark counts the changes."""
+    if not names:
+        return None
+    known = spark.createDataFrame([(n,) for n in sorted(names)], "n string")
+    changes = known.select("n", F.levenshtein(F.lower("n"), F.lit(name.lower())).alias("d")).where(F.col("d") <= most)
+    found = changes.orderBy("d", "n").first()
+    return found.n if found else None
+
+
+def _elsewhere(name: str, names: set[str]) -> str | None:
+    """The listed table of the same last name, if only one has it: the right schema for a wrong one."""
+    own = [n for n in sorted(names) if n.rsplit(".", 1)[-1].lower() == name.rsplit(".", 1)[-1].lower()]
+    return own[0] if len(own) == 1 else None
+
+
+def _nodes(plan) -> list:
+    """All expressions of a plan, those of its subqueries too."""
+    plans, found = [plan], []
+    while plans:
+        node = plans.pop()
+        waiting = [node.expressions().apply(i) for i in range(node.expressions().length())]
+        while waiting:
+            e = waiting.pop()
+            found.append(e)
+            if hasattr(e, "plan") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                plans.append(e.plan())
+            waiting += [e.children().apply(i) for i in range(e.children().length())]
+        plans += [node.children().apply(i) for i in range(node.children().length())]
+    return found
+
+
+def _cast_from(e) -> tuple[str, str] | None:
+    """(type before, type after) of a conversion that the analyzer or the statement put around a value."""
+    return (e.child().dataType().simpleString(), e.dataType().simpleString()) if e.getClass().getSimpleName() == "Cast" else None
+
+
+def type_faults(df: DataFrame) -> list[str]:
+    """What Spark's resolved plan converts that a writer hardly meant: dates cut from numbers, days compared with numbers or with texts that are no days."""
+    faults = []
+    for e in _nodes(df._jdf.queryExecution().analyzed()):
+        kind = e.getClass().getSimpleName()
+        sides = [e.children().apply(i) for i in range(e.children().length())]
+        if kind in TRUNCATIONS:
+            faults += [f"a date is cut from a {c[0]}: {e.sql()}" for s in sides if (c := _cast_from(s)) and c[0] not in (*DAYS, "string")]
+        if kind in COMPARISONS:
+            for s in sides:
+                before, after = _cast_from(s) or ("", "")
+                if after in DAYS and before == "string" and s.child().foldable() and _unreadable(df.sparkSession, s.child().sql(), after):
+                    faults.append(f"a {after} is compared with a text that is none: {e.sql()}")
+                elif before in DAYS and after not in DAYS or after in DAYS and before not in ("", "string", *DAYS):
+                    faults.append(f"{before} and {after} are compared: {e.sql()}")
+    return faults
+
+
+def _unreadable(spark: SparkSession, literal: str, kind: str) -> bool:
+    return spark.sql(f"SELECT try_cast({literal} AS {kind}) IS NULL AS none").first().none
+
+
+def review(spark: SparkSession, sql: str, access: Access) -> Review:
+    """Judges a statement by the catalog and by types, without running it.
+
+    A table under a wrong schema is put right, if one listed table has its name; for another unknown table or column the listed one of the nearest name is proposed.
+    """
+    sql = fenced_sql(sql)
+    try:
+        used = relations(spark, sql)
+    except Rejected as error:
+        return Review("rejected", str(error))
+    listed, corrected = {t.lower() for t in access.tables}, sql
+    for name in sorted(t for t in used if t.lower() not in listed):
+        if right := _elsewhere(name, access.tables):
+            corrected = re.sub(rf"(?i)(?<![\w.]){re.escape(name)}(?![\w.])", right, corrected)
+            continue
+        return Review("rejected", f"no table {name}", nearest_name(spark, name, access.tables) or "")
+    try:
+        df = spark.sql(corrected)
+    except PySparkException as error:
+        condition = error.getCondition() or ""
+        missing = (error.getMessageParameters() or {}).get("objectName", "").strip("`") if condition.startswith("UNRESOLVED_COLUMN") else ""
+        columns = {c for t in access.tables for c in spark.table(t).columns}
+        return Review("rejected", condition, (missing and nearest_name(spark, missing, columns)) or "")
+    if faults := type_faults(df):
+        return Review("rejected", faults[0])
+    return Review("corrected", "", corrected) if corrected != sql else Review("ok")

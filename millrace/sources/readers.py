@@ -138,3 +138,56 @@ def catalog_columns(spark: SparkSession, tables: list[str]) -> DataFrame:
     """(table, position, column, type) of tables or views."""
     rows = [(t, i, f.name, f.dataType.simpleString()) for t in tables for i, f in enumerate(spark.table(t).schema.fields)]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
+
+
+#: Names that the name of a map's feature goes by, in the order in which they are tried (fixed values).
+FEATURE_NAMES = ("SIG_KOR_NM", "name", "NM", "adm_nm", "sggnm")
+
+
+def geojson_features(files: DataFrame, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
+    """(path, at, name, properties, geometry) of the features of GeoJSON files (path, text), whatever their properties; properties and geometry are variants.
+
+    A file's name field is the first of `names` that its first feature has; without one the names are null. A text that is no JSON has no features.
+    """
+    parsed = files.select("path", F.try_parse_json("text").alias("v"))
+    features = F.expr("try_variant_get(v, '$.features', 'array<variant>')")
+    own = lambda v, n: F.expr(f"trim(try_variant_get({v}, '$.properties.{n}', 'string'))")
+    first = F.coalesce(*(F.when(F.expr(f"try_variant_get(v, '$.features[0].properties.{n}', 'variant') is not null"), F.lit(n)) for n in names))
+    each = parsed.select("path", first.alias("field"), F.posexplode(features).alias("at", "f"))
+    name = F.coalesce(*(F.when(F.col("field") == n, own("f", n)) for n in names))
+    return each.select("path", "at", name.alias("name"), F.expr("try_variant_get(f, '$.properties', 'variant')").alias("properties"), F.expr("try_variant_get(f, '$.geometry', 'variant')").alias("geometry"))
+
+
+def variant_fields(df: DataFrame, column: str) -> str:
+    """The one schema that all values of a variant column fit, as Spark merges them."""
+    return df.agg(F.schema_of_variant_agg(column).alias("s")).first().s
+
+
+def column_descriptions(tables: DataFrame) -> DataFrame:
+    """(table, column, type, description) from one text a table: a JSON object of names and descriptions, or lines parted by tabs.
+
+    Lines have a name and a description, with a type between them if there are three or more fields; those after the third belong to nothing. A first line that names its
+    fields is left out, as are lines of one field. The text decides which of the two it is, table by table.
+    """
+    read = tables.select("table", "text", F.try_parse_json("text").alias("v"))
+    of_json = read.select("table", F.explode(F.expr("try_variant_get(v, '$', 'map<string,string>')")).alias("column", "description")).select("table", "column", F.lit(None).cast("string").alias("type"), "description")
+    cells = F.transform(F.split("line", "\t"), lambda c: F.trim(c))
+    lines = read.where("try_variant_get(v, '$', 'map<string,string>') is null").select("table", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).select("table", "at", cells.alias("c"))
+    head = (F.col("at") == 0) & F.lower(F.get("c", F.lit(0))).isin("column", "column_name", "컬럼", "컬럼명")
+    good = lines.where((F.size("c") >= 2) & (F.get("c", F.lit(0)) != "") & ~head)
+    typed = F.size("c") >= 3
+    return of_json.unionByName(good.select("table", F.get("c", F.lit(0)).alias("column"), F.when(typed, F.get("c", F.lit(1))).alias("type"), F.when(typed, F.get("c", F.lit(2))).otherwise(F.get("c", F.lit(1))).alias("description")))
+
+
+def column_specs(lines: DataFrame) -> DataFrame:
+    """(name, id, type, length, nullable, description) of lines (line) that state a column: its name, an id in small letters, C or N, a length, NN or not, and words.
+
+    A name may have several words. The last place where id, type and length follow each other counts, behind words of letters, digits and `_-()` only.
+    """
+    words = F.filter(F.split(F.regexp_replace("line", r"\s+", " "), " "), lambda w: w != "")
+    place = lambda w: F.array_max(F.filter(F.sequence(F.lit(2), F.greatest(F.size(w) - 1, F.lit(2))), lambda i: (
+        F.get(w, i).isin("C", "N") & F.get(w, i + 1).rlike("^[0-9.]+$") & F.get(w, i - 1).rlike("^[a-z0-9]+$") & ~F.exists(F.slice(w, 1, i - 1), lambda x: x.rlike("[^가-힣A-Za-z0-9_()-]")))))
+    found = lines.select(words.alias("w")).where(F.size("w") >= 4).select("w", place(F.col("w")).alias("i")).where("i is not null")
+    required = F.get("w", F.col("i") + 2) == "NN"
+    rest = F.slice("w", F.col("i") + F.when(required, 4).otherwise(3), F.size("w"))
+    return found.select(F.array_join(F.slice("w", F.lit(1), F.col("i") - 1), " ").alias("name"), F.get("w", F.col("i") - 1).alias("id"), F.get("w", F.col("i")).alias("type"), F.get("w", F.col("i") + 1).alias("length"), F.when(required, "NN").otherwise("").alias("nullable"), F.array_join(rest, " ").alias("description"))
