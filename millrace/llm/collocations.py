@@ -28,16 +28,17 @@ def lowered(text: Column) -> Column:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words): a row for each piece of a text between marks `[.,;:!?\\x0A-\\x0D]`, with its words `[^\\x20\\x09]+`, A-Z lower-cased.
+    """(end, words): a row for each piece of a text between marks `[.,;:!?\\x0A-\\x0D]`, with its words `[^\\x20\\x09]+`, A-Z lower-cased; `end` is a line end and the language.
 
     Outer explodes, as for others the optimizer adds a filter that splits every text a second time. A text of ASCII is lower-cased as a whole, others piece by piece.
     """
     text = F.replace("text", F.lit("\t"), F.lit(" "))
     ascii_only = F.octet_length("text") == F.length("text")
-    low = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), ascii_only.alias("done"), F.when(ascii_only, F.lower(text)).otherwise(text).alias("text"))
-    part = low.select("lang", "done", F.explode_outer(F.split("text", r"[.,;:!?\n-\r]")).alias("piece")).where("piece is not null")
+    end = F.concat(F.lit("\n"), F.coalesce("lang", F.lit("und")))
+    low = docs.select(end.alias("end"), ascii_only.alias("done"), F.when(ascii_only, F.lower(text)).otherwise(text).alias("text"))
+    part = low.select("end", "done", F.explode_outer(F.split("text", r"[.,;:!?\n-\r]")).alias("piece")).where("piece is not null")
     piece = F.when(F.col("done"), F.col("piece")).otherwise(lowered(F.col("piece")))
-    return part.select("lang", F.array_remove(F.split(piece, " "), "").alias("words"))
+    return part.select("end", F.array_remove(F.split(piece, " "), "").alias("words"))
 
 
 def phrases_of(words: Column, n: int, end: Column) -> Column:
@@ -51,8 +52,7 @@ def counted(docs: DataFrame, lengths: tuple[int, ...], least: int) -> DataFrame:
 
     Rows are counted by one key, phrase and language with a line end between them, which no phrase has: one string is cheaper to hash, compare and shuffle than two.
     """
-    end = F.concat(F.lit("\n"), F.col("lang"))
-    every = F.concat(*(phrases_of(F.col("words"), n, end) for n in lengths))
+    every = F.concat(*(phrases_of(F.col("words"), n, F.col("end")) for n in lengths))
     rows = pieces(docs).select(F.explode_outer(every).alias("key")).where("key is not null")
     counts = rows.groupBy("key").agg(F.count("*").alias("f")).withColumn("phrase", F.substring_index("key", "\n", 1))
     frequent = counts.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
