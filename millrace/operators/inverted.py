@@ -2,7 +2,7 @@
 
 Documents are dealt to blocks by a hash of their ids, BLOCK a block on average. A row of the postings table is one term's postings in one block, so a term's list
 is spread over as many rows as its frequency needs; rows lie by term in folders by the term's hash, which a search prunes. `tops` holds for each
-frequency that occurs the shortest document that has it: whatever k1, b and the mean length, the best of these is the list's best.
+frequency that occurs the shortest document that has it: whatever k1, b and the mean length, the best of these is the list's best. A term's own are merged from them.
 """
 
 from __future__ import annotations
@@ -24,9 +24,13 @@ PLACES, SLACK = 6, 2e-6
 
 
 def _tops(postings: Column) -> Column:
-    """(tf, dl) of the shortest document of each frequency."""
-    each = F.array_distinct(F.transform(postings, lambda p: p["tf"]))
-    return F.transform(each, lambda t: F.struct(t.alias("tf"), F.array_min(F.transform(F.filter(postings, lambda p: p["tf"] == t), lambda p: p["dl"])).alias("dl")))
+    """(tf, dl, n) of each frequency: the length of the shortest document that has it, and how many have it."""
+
+    def of(t: Column) -> Column:
+        same = F.filter(postings, lambda p: p["tf"] == t)
+        return F.struct(t.alias("tf"), F.array_min(F.transform(same, lambda p: p["dl"])).alias("dl"), F.size(same).alias("n"))
+
+    return F.transform(F.array_distinct(F.transform(postings, lambda p: p["tf"])), of)
 
 
 @dataclass(frozen=True)
@@ -61,13 +65,12 @@ class InvertedIndex:
         each = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
         counted = each.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "dl").agg(F.count("*").cast("int").alias("tf"))
         lists = counted.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("list"))
-        rows = lists.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "block", F.size("list").alias("n"), _tops(F.col("list")).alias("tops"), "list")
+        rows = lists.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "block", _tops(F.col("list")).alias("tops"), "list")
         write_folders(rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), f"{path}/postings", "bucket")
         postings = read_folders(spark, f"{path}/postings")
-        per_list = postings.select("bucket", "term", "n", "tops", F.aggregate("list", F.lit(0).cast("long"), lambda s, p: s + p["tf"]).alias("cf"))
-        sums = per_list.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
-        best = per_list.select("bucket", "term", F.inline("tops")).groupBy("bucket", "term", "tf").agg(F.min("dl").alias("dl")).groupBy("bucket", "term").agg(F.collect_list(F.struct("tf", "dl")).alias("tops"))
-        sums.join(best, ["bucket", "term"]).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        each = postings.select("bucket", "term", F.inline("tops")).groupBy("bucket", "term", "tf").agg(F.min("dl").alias("dl"), F.sum("n").alias("n"))
+        terms = each.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("cf"), F.collect_list(F.struct("tf", "dl")).alias("tops"))
+        terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
         idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         size = spark.read.parquet(f"{path}/terms").agg((F.sum("cf") / F.lit(max(n, 1))).alias("avgdl"), F.avg(idf).alias("mean_idf"))
         size.select(F.lit(n).alias("n"), F.lit(blocks).alias("blocks"), F.coalesce("avgdl", F.lit(0.0)).alias("avgdl"), F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf")).write.parquet(f"{path}/size")

@@ -117,7 +117,12 @@ def src20_named_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.run(spark, "regions")
 
 
-@query("str09_at_break")
+@query(
+    "str09_at_break",
+    """WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS head, reverse(substr(text, 1, 400)) AS back FROM documents),
+    l AS (SELECT *, greatest(CASE WHEN contains(back, '.') THEN 401 - strpos(back, '.') ELSE 0 END, CASE WHEN contains(back, ' ') THEN 401 - strpos(back, ' ') ELSE 0 END, CASE WHEN contains(back, chr(10)) THEN 401 - strpos(back, chr(10)) ELSE 0 END) AS last FROM h)
+    SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN last > 280 THEN substr(head, 1, last) ELSE head END AS head FROM l""",
+)
 def str09_at_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 400 characters, for a pair scorer."""
     return table(spark, sf_dir, "documents").select("doc_id", text.at_break(F.col("text")).alias("head"))

@@ -121,6 +121,21 @@ def etl05_article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "articles", 1000, 200)
 
 
+@query(
+    "etl05_regulation_chunks",
+    """SELECT o_orderkey, c AS chunk_index, md5(CASE c WHEN 0 THEN '제 ' || o_orderkey || ' 조 ' || repeat('가', 400) || e'\n\n제2조 ' || repeat('나', 400) ELSE '제3조 ' || repeat('다', 400 + o_custkey % 100) END) AS h FROM orders, (VALUES (0), (1)) v(c)""",
+)
+def etl05_regulation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETL-05: a regulation for each order: what stands before the first article is in no chunk, two short articles share one, the third has its own."""
+    article = lambda head, sign, n: F.concat(head, F.repeat(F.lit(sign), n))
+    key = F.col("o_orderkey").cast("string")
+    rule = F.concat(
+        F.lit("머리말 "), key, F.lit("\n"), article(F.concat(F.lit("제 "), key, F.lit(" 조 ")), "가", F.lit(400)), F.lit("\n\n\n"), article(F.lit("제2조 "), "나", F.lit(400)), F.lit("\n"),
+        article(F.lit("제3조 "), "다", (F.col("o_custkey") % 100 + 400).cast("int")), F.lit(" \n"))
+    found = chunking.chunk(table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("text")), "o_orderkey", "text", "articles", 1000, 200)
+    return found.select("o_orderkey", "chunk_index", F.md5("content").alias("h"))
+
+
 @query("etl10_markdown_chunks")
 def etl10_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also ETL-12: pages as Markdown, by their headings."""

@@ -65,7 +65,7 @@ def test_most_lists_of_a_frequent_term_stay_packed(spark, monkeypatch):
 def test_folders_are_pruned(spark, corpus):
     docs, queries = frames(spark, corpus)
     index = InvertedIndex.build(docs)
-    assert sorted(f.name for f in index.postings.schema) == ["block", "bucket", "list", "n", "term", "tops"]
+    assert sorted(f.name for f in index.postings.schema) == ["block", "bucket", "list", "term", "tops"]
     assert index.postings.where("bucket = 3").inputFiles() and all("bucket=" in f for f in index.postings.inputFiles())
 
 
