@@ -64,9 +64,11 @@ class InvertedIndex:
         words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
         each = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
         counted = each.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        lists = counted.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("list"))
-        rows = lists.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "block", _tops(F.col("list")).alias("tops"), "list")
-        write_folders(rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), f"{path}/postings", "bucket")
+        lists = counted.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("list")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        # ranges are found by a pass of their own, so the lists are sorted and summed up behind it
+        dealt = lists.repartitionByRange("bucket", "term", "block").select("bucket", "term", "block", F.sort_array("list").alias("list"))
+        rows = dealt.select("bucket", "term", "block", _tops(F.col("list")).alias("tops"), "list")
+        write_folders(rows.sortWithinPartitions("bucket", "term", "block"), f"{path}/postings", "bucket")
         postings = read_folders(spark, f"{path}/postings")
         each = postings.select("bucket", "term", F.inline("tops")).groupBy("bucket", "term", "tf").agg(F.min("dl").alias("dl"), F.sum("n").alias("n"))
         terms = each.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("cf"), F.collect_list(F.struct("tf", "dl")).alias("tops"))
