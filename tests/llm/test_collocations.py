@@ -73,3 +73,37 @@ def test_only_ascii_is_lowered(spark):
     texts = ["ABC é", "É Abc", "Σ ΑΣ x", "İstanbul ŞI", "Ⅰ Ⓐ A", "ǅ Z", "plain", "日本 Z", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", collocations.lowered(F.col("t")).alias("low"))
     assert all(r.low == "".join(c.lower() if "A" <= c <= "Z" else c for c in r.t) for r in df.collect())
+
+
+def test_one_row_a_place(spark):
+    docs = spark.createDataFrame([("en", "a b  c.d"), ("en", "a\tb"), ("en", " . "), (None, "x"), ("en", None)], "lang string, text string")
+    keys = lambda *n: sorted(r.key for r in collocations.windows(docs, *n).collect())
+    assert keys(1, 2) == ["a b\nen", "a b\nen", "b\nen", "b c\nen", "c\nen", "d\nen", "x\nund"]
+    assert keys(3, 3) == ["a b c\nen"]
+
+
+def test_keys_are_made_in_compiled_code(spark):
+    docs = spark.createDataFrame([("en", "a b c")], "lang string, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for lengths in [(1, 2), (3,)]:
+            plan = collocations.counted(docs, lengths, 10)._jdf.queryExecution().executedPlan().toString().splitlines()
+            made = [line for line in plan if re.search(r"\bGenerate ", line)]
+            assert made and all(re.search(r"\*\(\d+\) Generate ", line) and "lambda" not in line for line in made)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lengths_counted_together(spark):
+    rng, langs = random.Random(3), ["en", "zh Hant", "a\nb c", "", None]
+    rows = [(rng.choice(langs), " ".join(rng.choice(["a", "b", "cc", "d.", "é"]) for _ in range(rng.randint(0, 30)))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    true = Counter()
+    for lang, text in rows:
+        for piece in text.split("."):
+            words = piece.split()
+            true.update(("und" if lang is None else lang, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    for lengths in [(1,), (1, 2), (3,), (1, 2, 3), (2, 3), (1, 3)]:
+        got = sorted((r.lang, r.phrase, r.f) for r in collocations.counted(docs, lengths, 25).collect())
+        assert got == sorted((lang, p, f) for (lang, p), f in true.items() if len(p.split()) in lengths and (f >= 25 or " " not in p))
