@@ -58,7 +58,7 @@ def search(docs: DataFrame, questions: DataFrame, mode: Mode, encoder: Encoder,
     if mode.keywords:
         hits = retrieval.fuse([hits, (index or InvertedIndex.build(docs)).search(as_queries, 20).select("query_id", "id", "rank")], mode.hits)
     found = hits.select(F.col("query_id").alias("form_id"), "id", F.col("rank").alias("form_rank")).join(forms.select("form_id", "query_id", "variant"), "form_id")
-    found = found.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    found = retrieval.with_documents(found, docs.select("doc_id", "text", "source"))
     first = found.groupBy("query_id", F.substring("text", 1, HEAD).alias("head")).agg(F.min(F.struct("variant", "form_rank", "id", "text", "source")).alias("h"))
     order = Window.partitionBy("query_id").orderBy("h.variant", "h.form_rank", "h.id")
     gathered = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (GATHERED if mode.variants > 1 else mode.hits))
