@@ -21,7 +21,7 @@ def many(spark, tmp_path_factory):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["ret11_deep_mode"])
+@pytest.mark.parametrize("name", ["ret10_standard_mode", "ret11_deep_mode"])
 def test_texts_and_postings_are_not_shuffled(spark, many, name):
     path, size = many
     before = shuffled(spark)
