@@ -21,7 +21,7 @@ def many(spark, tmp_path_factory):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["ret04_bm25", "ret07_rerank", "ret10_standard_mode", "ret11_deep_mode", "ret14_contexts"])
+@pytest.mark.parametrize("name", ["ret04_bm25", "ret05_fusion", "ret07_rerank", "ret10_standard_mode", "ret11_deep_mode", "ret14_contexts"])
 def test_texts_and_postings_are_not_shuffled(spark, many, name):
     path, size = many
     before = shuffled(spark)
